@@ -36,7 +36,7 @@ def _starts(w: str, n: int) -> str:
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
     """n, w (the words), h (their hash), items (the ids of items with the window), one row for each window."""
-    b = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("ws")).where("size(ws) > 0")
+    b = benchmark.where("item_id is not null").select("item_id", F.explode(F.array(words(F.col("text")))).alias("ws")).where("size(ws) > 0")
     b = b.withColumn("n", F.least(F.size("ws"), F.lit(size)))
     b = b.select("item_id", "n", F.explode(F.expr("transform(sequence(1, size(ws) - n + 1), i -> slice(ws, i, n))")).alias("w"))
     return b.groupBy("n", "w").agg(F.collect_set("item_id").alias("items")).withColumn("h", F.xxhash64("w"))
@@ -70,7 +70,8 @@ def _hits(keyed: DataFrame, benchmark: DataFrame, size: int, all_documents: bool
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.xxhash64("text").alias(_TEXT_KEY), words(F.col("text")).alias("ws"))
+    # explode of one element: a projection would be merged into those above it and split the text for each word again
+    return documents.select("doc_id", F.xxhash64("text").alias(_TEXT_KEY), F.explode(F.array(words(F.col("text")))).alias("ws"))
 
 
 _COVERED = """aggregate(sort_array(spans), struct(0L as hit, 0 as upto), (a, s) -> struct(

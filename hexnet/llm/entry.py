@@ -34,14 +34,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
-SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP4_SQL = f"""
 with d as (select doc_id, {SQL_WORDS.format("text")} ws from documents),
  b as (select item_id, {SQL_WORDS.format("text")} ws from benchmark where item_id is not null),
- bw as (select distinct item_id, least(len(ws), 10) n, unnest(list_transform(range(1, len(ws) - least(len(ws), 10) + 2), i -> ws[i : i + least(len(ws), 10) - 1])) w from b where len(ws) > 0),
- dw as (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) i from d, (select distinct n from bw) where len(ws) >= n),
- hits as (select doc_id, i, dw.n, item_id from dw join bw on dw.n = bw.n and ws[i : i + dw.n - 1] = w),
+ bs as (select item_id, ws, least(len(ws), 10) n from b where len(ws) > 0),
+ bw as (select distinct item_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i : i + n - 1], ' '))) w from bs),
+ dw as (select doc_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: {{'i': i, 'w': array_to_string(ws[i : i + n - 1], ' ')}})) s from d, (select distinct n from bw) where len(ws) >= n),
+ hits as (select doc_id, s.i i, dw.n n, item_id from dw join bw on dw.n = bw.n and s.w = bw.w),
  covered as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) group by 1),
  items as (select doc_id, count(*) n_items, sha256(string_agg(id, ',' order by id)) s from (select distinct doc_id, cast(item_id as varchar) id from hits) group by 1)
 select doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
