@@ -86,14 +86,21 @@ def once_per_id(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, keep: Column, per_class: int) -> DataFrame:
-    """At most per_class labelled texts of each label: those with the smallest hashes of their ids.
-
-    Only (doc_id, label) pairs are ranked; the texts of the chosen ids are joined afterwards.
+def sample(rows: DataFrame, by: str, per: int) -> DataFrame:
+    """About ``per`` rows of each value of ``by``, all where there are fewer: those whose hashed doc_id is
+    below the share wanted.  The same rows are chosen however the table is dealt, and no group of rows
+    meets in one task.  The values of ``by`` must be few: their counts come to the driver.
     """
-    ids = once_per_id(labels, column).where(keep)
-    best = []
-    for value in (0, 1):
-        best.append(ids.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
-    chosen = best[0].unionByName(best[1])
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    counts = rows.groupBy(by).count().collect()
+    wanted = F.lit(False)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
+    for r in counts:
+        if r[by] is not None:
+            wanted = wanted | ((F.col(by) == r[by]) & (place < F.lit(int((1 << 30) * min(1.0, per / r["count"])))))
+    return rows.where(wanted)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, keep: Column, per_class: int) -> DataFrame:
+    """doc_id, text, label of about per_class labelled documents of each label."""
+    ids = sample(once_per_id(labels, column).where(keep), "label", per_class)
+    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, packing, records
+from . import chat, common, decontaminate, language, packing, quality, records
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +17,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = common.table(spark, sf_dir, "documents"), common.fold(F.col("doc_id"), 3) == 1
+    field = quality.fit(documents, common.table(spark, sf_dir, "labels"), ~held_out)
+    return quality.predict(documents, field, "doc_id", held_out.alias("held_out"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +45,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_log(events))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = common.table(spark, sf_dir, "documents"), common.fold(F.col("doc_id"), 4) == 2
+    return language.predict(documents, language.fit(documents, ~held_out), "doc_id", held_out.alias("held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
