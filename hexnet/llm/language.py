@@ -150,3 +150,19 @@ def fit(documents: DataFrame, keep: Column, per_language: int = PER_LANGUAGE) ->
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), "<f4").reshape(len(rows), DIM)
     return Model(x, [r["lang"] for r in rows])
+
+
+def predict(documents: DataFrame, model: Model, *columns: Column | str) -> DataFrame:
+    """The columns given, lang_pred and score."""
+    spark = documents.sparkSession
+    common.ready(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = sent.value
+        for batch in texts:
+            found = [own.predict(features(t)) if t and _LETTER.search(t) else ("und", 0.0) for t in batch]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+
+    return documents.select(*columns, of("text").alias("__p")).select("*", "__p.*").drop("__p")
