@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, language, packing, quality, records, toxicity
+from . import chat, common, decontaminate, language, packing, quality, records, simhash, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(common.table(spark, sf_dir, "documents"), size=4).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = common.table(spark, sf_dir, "documents"), common.fold(F.col("doc_id"), 5) == 0
     index = toxicity.fit(documents, common.table(spark, sf_dir, "labels"), ~held_out)
