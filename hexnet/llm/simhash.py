@@ -1,10 +1,16 @@
 """SimHash near-duplicates by an inverted index over byte positions with count filtering.
 
-A document's fingerprint has bit b set if over half of its shingles' XXH64 hashes (seed 42) have it.  Two
-fingerprints that differ in at most DISTANCE = 4 of 64 bits share at least four of their eight bytes in
-place.  Postings are keyed by three bytes in place; twenty triples of places suffice for every set of
-four places to hold one of them.  Within a posting list the shared bytes of pairs are tallied, pairs with
-fewer than four are left, and the rest are verified by counting differing bits.
+A document's fingerprint has bit b set if over half of its shingles' hashes have it.  Postings are keyed
+by the bytes at a few places; within a posting list the bytes that pairs share in place are tallied,
+pairs below a minimum are left, and the rest are verified by counting differing bits.
+
+    STRICT  64 bits of XXH64 (seed 42).  Fingerprints link at 4 or fewer differing bits, so they share at
+            least four of eight bytes, and postings are keyed by three bytes: twenty triples of places
+            suffice for every set of four places to hold one of them.  Nothing is missed.
+    WIDE    512 bits over distinct shingles, for text similarity rather than equal fingerprints.  Sets of
+            shingles with a Jaccard similarity of 0.8 differ in 15 % of the bits, and share about 17 of 64
+            bytes; postings are keyed by two bytes at 40 pairs of places.  A pair of similarity 0.8 has
+            no list in common with a probability of 5 %, one of 0.85 with 0.5 %.
 
 Only distinct fingerprints are indexed, and a list gives links that connect what is linked within it
 (a spanning forest) rather than all its pairs, so a large group of near copies costs as many links as it
@@ -13,13 +19,14 @@ written to the shared folder after each round.
 
 Defined results: a text without words, null included, has fingerprint zero; fewer words than a shingle
 are one shingle; repeated rows are returned as often as they come; a null doc_id is returned with its own
-fingerprint and the component of that fingerprint (null if no id reaches it); an empty table gives no
-row; further columns are ignored, or kept by ``first_of_each``.
+fingerprint and the component of that fingerprint (null if no id has it); an empty table gives no row;
+further columns are ignored, or kept by ``first_of_each``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -29,126 +36,153 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DISTANCE = 4
-SHARED = 8 - DISTANCE
-_PLACES = ((0, 1, 2), (3, 4, 5), (6, 7))
+_SHINGLES_AT_ONCE = 1 << 14
+_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """words: 64-bit words of a fingerprint.  places: the byte places that key a posting list each.
+    shared: bytes that a pair must share.  distance: bits in which it may differ.  sets: each shingle
+    counts once.  long_list: a longer list is divided by one more byte, which needs shared > len(places[0]).
+    """
+
+    words: int
+    places: tuple[tuple[int, ...], ...]
+    shared: int
+    distance: int
+    sets: bool
+    long_list: int | None
+
+
 #: Every four of the eight places hold one of these triples: three places of one group, or two of one and one of the next.
-TRIPLES = [t for g in _PLACES for t in combinations(g, 3)] + [
-    (*two, one) for k, g in enumerate(_PLACES) for two in combinations(g, 2) for one in _PLACES[(k + 1) % 3]
-]
-#: A longer posting list is divided by a fourth byte.
-LONG_LIST = 4096
-_SHINGLES_AT_ONCE = 1 << 16
+STRICT = Scheme(
+    1,
+    tuple(t for g in _GROUPS for t in combinations(g, 3))
+    + tuple((*two, one) for k, g in enumerate(_GROUPS) for two in combinations(g, 2) for one in _GROUPS[(k + 1) % 3]),
+    4, 4, False, 4096,
+)
+WIDE = Scheme(8, tuple((k, (k + step) % 64) for step in (1, 11) for k in range(0, 60, 3)), 8, 88, True, None)
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
+def fingerprint(text: str | None, size: int = 4, scheme: Scheme = STRICT) -> bytes:
+    """The fingerprint's words, each with its highest byte first."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = max(1, len(words) - size + 1) if words else 0
     if not n:
-        return 0
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, _SHINGLES_AT_ONCE):
-        to = min(n, at + _SHINGLES_AT_ONCE)
-        h = np.fromiter((digest(b" ".join(words[k : k + size]), 42) for k in range(at, to)), np.uint64, to - at)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer."""
+        return bytes(8 * scheme.words)
+    digest = xxhash.xxh64_intdigest
+    every = np.fromiter((digest(b" ".join(words[k : k + size]), 42) for k in range(n)), np.uint64, n)
+    if scheme.sets:
+        every = np.unique(every)
+    counts = np.zeros((scheme.words, 64), np.int64)
+    for at in range(0, len(every), _SHINGLES_AT_ONCE):
+        own = every[at : at + _SHINGLES_AT_ONCE]
+        for k in range(scheme.words):
+            h = own if not k else _mixed(own + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(every), axis=1, bitorder="little").view("<u8").astype(">u8").tobytes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(documents: DataFrame, size: int, scheme: Scheme) -> DataFrame:
+    """doc_id and fp."""
     common.ready(documents.sparkSession)
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))
+        return texts.map(lambda t: fingerprint(t, size, scheme)) if texts.notna().all() else pd.Series([fingerprint(t, size, scheme) for t in texts])
 
     return documents.select(F.col("doc_id").cast("long"), of("text").alias("fp"))
 
 
-def _near(one: np.uint64, others: np.ndarray) -> np.ndarray:
-    """Places in others of what differs from one in at most DISTANCE bits."""
+def near(one: np.ndarray, others: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Rows of others that share enough bytes in place with one and differ in few enough bits."""
     x = others ^ one
-    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-    some = np.flatnonzero(tally >= SHARED)
-    return some[np.bitwise_count(x[some]) <= DISTANCE]
+    some = np.flatnonzero((x == 0).sum(1) >= scheme.shared)
+    bits = np.bitwise_count(np.ascontiguousarray(x[some]).view(np.uint64)).sum(1)
+    return some[bits <= scheme.distance]
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect the distinct fingerprints of a list as all their links would."""
-    links, waiting = [], fps
-    while len(waiting) > 1:
-        edge, waiting = [waiting[0]], waiting[1:]
-        while edge and len(waiting):
+def forest(ids: np.ndarray, fps: np.ndarray, scheme: Scheme) -> list[tuple[int, int]]:
+    """Links that connect the fingerprints (rows of bytes) of a list as all their links would."""
+    links, left = [], np.arange(len(ids))
+    while len(left) > 1:
+        edge, left = [left[0]], left[1:]
+        while edge and len(left):
             one = edge.pop()
-            near = _near(one, waiting)
-            if len(near):
-                found = waiting[near]
-                links += [(int(one), int(x)) for x in found]
-                edge += list(found)
-                waiting = np.delete(waiting, near)
+            found = near(fps[one], fps[left], scheme)
+            if len(found):
+                links += [(int(ids[one]), int(ids[x])) for x in left[found]]
+                edge += list(left[found])
+                left = np.delete(left, found)
     return links
 
 
-def _list_links(key: int, fps: np.ndarray) -> list[tuple[int, int]]:
-    fps = np.unique(fps)
-    if len(fps) <= LONG_LIST:
-        return forest(fps)
-    # linked fingerprints share a byte besides the three of the list
+def _list_links(key: int, ids: np.ndarray, fps: np.ndarray, scheme: Scheme) -> list[tuple[int, int]]:
+    if not scheme.long_list or len(ids) <= scheme.long_list:
+        return forest(ids, fps, scheme)
     links = []
-    for place in set(range(8)) - set(TRIPLES[key & 31]):
-        byte = fps.view(np.uint8).reshape(-1, 8)[:, place]
-        for part in np.split(fps[np.argsort(byte, kind="stable")], np.flatnonzero(np.diff(np.sort(byte))) + 1):
-            links += forest(part)
+    for place in set(range(fps.shape[1])) - set(scheme.places[key & 63]):
+        order = np.argsort(fps[:, place], kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(fps[order, place])) + 1):
+            links += forest(ids[part], fps[part], scheme)
     return links
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """a, b: linked fingerprints, of the column fp of distinct ones."""
+def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
+    """a, b: linked ids, of rows (rep, fp) with distinct fp."""
+    width = 8 * scheme.words
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = batch["fp"].to_numpy().astype(np.int64)
-            places = fps.view(np.uint8).reshape(-1, 8).astype(np.int64)
-            own = [((places[:, a] << 16 | places[:, b] << 8 | places[:, c]) << 5 | k) for k, (a, b, c) in enumerate(TRIPLES)]
-            yield pd.DataFrame({"key": np.concatenate(own), "fp": np.tile(fps, len(TRIPLES))})
+            data = np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(-1, width).astype(np.int64)
+            for k, places in enumerate(scheme.places):
+                key = np.zeros(len(data), np.int64)
+                for p in places:
+                    key = key << 8 | data[:, p]
+                yield pd.DataFrame({"key": key << 6 | k, "rep": batch["rep"], "fp": batch["fp"]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held_key, held = None, []
         out: list[tuple[int, int]] = []
 
         def close() -> None:
-            if sum(map(len, held)) > 1:
-                out.extend(_list_links(held_key, np.concatenate(held)))
-
-        def frame(rows: list[tuple[int, int]]) -> pd.DataFrame:
-            return pd.DataFrame(np.array(rows, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+            if sum(len(x) for x, _ in held) > 1:
+                out.extend(_list_links(held_key, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), scheme))
 
         for batch in batches:
-            key, fps = batch["key"].to_numpy(), batch["fp"].to_numpy().astype(np.int64).view(np.uint64)
+            if not len(batch):
+                continue
+            key, ids = batch["key"].to_numpy(), batch["rep"].to_numpy()
+            fps = np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(-1, width)
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-            if not len(key):
-                continue
             if key[0] != held_key:
                 close()
-                held_key, held = key[0], []
-            held.append(fps[: ends[0]])
+                held_key, held = int(key[0]), []
+            held.append((ids[: ends[0]], fps[: ends[0]]))
             if len(starts) > 1:
                 close()
-                long = np.flatnonzero(ends[1:-1] - starts[1:-1] > 1) + 1
-                for k in long:
-                    out.extend(_list_links(int(key[starts[k]]), fps[starts[k] : ends[k]]))
-                held_key, held = key[-1], [fps[starts[-1] :]]
+                for k in np.flatnonzero(ends[1:-1] - starts[1:-1] > 1) + 1:
+                    part = slice(starts[k], ends[k])
+                    out.extend(_list_links(int(key[starts[k]]), ids[part], fps[part], scheme))
+                held_key, held = int(key[-1]), [(ids[starts[-1] :], fps[starts[-1] :])]
             if out:
-                yield frame(out)
+                yield pd.DataFrame(out, columns=["a", "b"])
                 out.clear()
         close()
         if out:
-            yield frame(out)
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    postings = distinct.select("fp").mapInPandas(keys, "key long, fp long")
+    postings = distinct.where("rep is not null").select("rep", "fp").mapInPandas(keys, "key long, rep long, fp binary")
     return postings.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
@@ -198,22 +232,19 @@ def components(edges: DataFrame) -> DataFrame:
         edges = common.materialize(_stars(small.distinct()).distinct(), "edges")
 
 
-def classes(documents: DataFrame, size: int = 4) -> DataFrame:
-    """Per row: doc_id, fp, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
-    docs = common.materialize(fingerprints(documents, size), "fingerprints")
+def classes(documents: DataFrame, size: int = 4, scheme: Scheme = STRICT) -> DataFrame:
+    """Per row: doc_id, fingerprint (hex digits), component_id (the smallest doc_id reachable)."""
+    docs = common.materialize(fingerprints(documents, size, scheme), "fingerprints")
     distinct = common.materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    own = links(distinct).distinct()
-    a = distinct.select(F.col("fp").alias("a"), F.col("rep").alias("ra"))
-    b = distinct.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    named = own.join(a, "a").join(b, "b").where("ra is not null and rb is not null").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    found = components(named)
+    found = components(links(distinct, scheme))
     of = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return docs.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs.join(of, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
 
+def first_of_each(documents: DataFrame, size: int = 5, scheme: Scheme = WIDE) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id, once; all columns stay.
 
-def first_of_each(documents: DataFrame, size: int = 5) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id, once; all columns stay."""
-    groups = classes(documents, size)
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    rows = documents.join(firsts, "doc_id", "left_semi")
-    return rows.dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+    Texts without words are copies of each other.  Rows with a null doc_id stay.
+    """
+    firsts = classes(documents, size, scheme).where("doc_id = component_id").select("doc_id").distinct()
+    return documents.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
