@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, language, packing, quality, records, simhash, toxicity
+from . import chat, common, decontaminate, language, packing, quality, records, simhash, topk, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -23,6 +23,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(documents, field, "doc_id", held_out.alias("held_out"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(topk.quantize(common.table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,14 @@ with d as (select doc_id, {SQL_WORDS.format("text")} ws from documents),
 select doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join covered using (doc_id) left join items using (doc_id)"""
 
+OP2_SQL = """
+with e as (select distinct vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ q as (select vec_id query_id, v qv from e where vec_id % 100 = 0),
+ s as (select query_id, vec_id, cast(list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])) as bigint) score from q join e on query_id <> vec_id),
+ r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 10"""
+
 OP9_SQL = r"""
 with t as (select conv_id, turn, coalesce(role, '') r, role, coalesce(text, '') x from conversations
   union all select -1, 0, 'user', 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', 'assistant', '<|im_end|><|im_start|>assistant ok'),
@@ -89,4 +101,4 @@ from f group by conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op9_chat": OP9_SQL}
+    return {"op2_topk": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_chat": OP9_SQL}
