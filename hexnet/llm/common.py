@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does once their frames are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a path of any Hadoop file system."""
     jvm = spark.sparkContext._jvm

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, language, packing, quality, records, simhash, topk, toxicity
+from . import chat, common, decontaminate, language, lm, packing, quality, records, simhash, topk, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +27,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.quantize(common.table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.fold(F.col("doc_id"), 7) == 2
+    return lm.score(common.table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
