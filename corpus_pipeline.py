@@ -3,12 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hexnet.llm import common, decontaminate, entry, packing
+from hexnet.llm import common, decontaminate, entry, packing, quality, simhash, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field over lines calls bad go.  Labels of a third of the ids are held out, as in the query."""
+    docs = docs.select(COLUMNS)
+    field = quality.fit(docs, common.table(spark, sf_dir, "labels"), common.fold(F.col("doc_id"), 3) != 1)
+    return quality.predict(docs, field, *COLUMNS).where("predicted = 1").select(COLUMNS)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose nearest labelled examples call them toxic go."""
+    docs = docs.select(COLUMNS)
+    index = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), common.fold(F.col("doc_id"), 5) != 0)
+    return toxicity.predict(docs, index, *COLUMNS).where("predicted = 0").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: shingles of five words, similarity 0.8 or more."""
+    return simhash.first_of_each(docs.select(COLUMNS), size=5)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return decontaminate.clean(docs.select(COLUMNS), common.table(spark, sf_dir, "benchmark"), remove="documents")
@@ -20,6 +40,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("quality classifier", quality_classifier),
+    ("toxicity", toxicity_filter),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("best-fit packing", best_fit_packing),
 ]
