@@ -58,11 +58,10 @@ def _hits(keyed: DataFrame, benchmark: DataFrame, size: int, all_documents: bool
         w = items.where(F.col("n") == n).select(F.col("h").alias("wh"), "w", "items")
         w = F.broadcast(w) if small else w
         per = per.withColumn("i", F.col("p") + (0 if first.startswith("array") else 1)).drop("p")
-        if first.startswith("array"):
-            per = per.join(w, per["h"] == w["wh"], "left").where(f"i = 0 or slice(ws, i, {n}) = w")
-        else:
-            per = per.join(w, per["h"] == w["wh"]).where(f"slice(ws, i, {n}) = w")
-        parts.append(per.select("doc_id", _TEXT_KEY, F.when(F.col("i") == 0, F.size("ws")).alias("n_words"), "i", F.lit(n).alias("n"), "items"))
+        per = per.withColumns({"n_words": F.when(F.col("i") == 0, F.size("ws")), "own": F.when(F.col("i") > 0, F.slice("ws", F.greatest("i", F.lit(1)), n))})
+        # a broadcast join cuts out the words of hits only; a shuffle carries a window's words, never the text
+        per = per.drop("ws").join(w, per["h"] == w["wh"], "left" if first.startswith("array") else "inner").where("i = 0 or own = w")
+        parts.append(per.select("doc_id", _TEXT_KEY, "n_words", "i", F.lit(n).alias("n"), "items"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
