@@ -49,7 +49,7 @@ def parent(c: Column, res: int) -> Column:
 
 
 def is_pentagon(c: Column) -> Column:
-    unused = F.shiftright(F.lit((1 << 45) - 1), 3 * resolution(c))
+    unused = F.call_function("shiftright", F.lit((1 << 45) - 1), 3 * resolution(c))
     return base_cell(c).isin(*PENTAGONS) & (c.bitwiseAND(F.lit((1 << 45) - 1)) == unused)
 
 
