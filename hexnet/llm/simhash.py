@@ -225,9 +225,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not least.where("n > 1").limit(1).count() and not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("low"))
+        # written first, so that the join shuffles both sides and Spark can split the rows of a node with many neighbours
+        low = common.materialize(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "low")
+        large = common.materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(), "large")
+        down = common.materialize(large.groupBy("u").agg(F.min("v").alias("low")), "down")
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("low").alias("b"))
         edges = common.materialize(_stars(small.distinct()).distinct(), "edges")
 

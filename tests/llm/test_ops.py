@@ -359,7 +359,7 @@ def test_language_model(spark):
             out.append(w)
             w = start[(start.index(w) + 1) % 30] if rng.random() < 0.8 else rng.choice(start)
         texts.append((k, " ".join(out), "en"))
-    rows = texts + AWKWARD[1:5] + [(None, "w1 W2", "en"), (0, texts[0][1], "en")]
+    rows = texts + [(2000 + d, t, x) for d, t, x in AWKWARD[1:5]] + [(None, "w1 W2", "en"), (0, texts[0][1], "en")]
     learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     got = lm.score(docs(spark, rows), learn).collect()
     assert len(got) == len(rows)
@@ -392,12 +392,11 @@ def test_hot_contexts_are_parted(spark, monkeypatch):
     assert all(abs(one[k] - parted[k]) < 0.05 * abs(one[k]) for k in one)
 
 
-def test_probabilities_sum_to_one(spark):
-    """Of every word and the unknown one after a context: from scores of texts that differ in one word only."""
+def test_probabilities_leave_room(spark):
+    """Texts of one word and the empty one are disjoint, so their probabilities sum to less than one."""
     rows = [(k, t, "en") for k, t in enumerate(["a b", "a c", "a b", "b c", "c c", "a"] * 5)]
     extra = [(1000 + k, f"a {w}", "en") for k, w in enumerate("abc")] + [(1100, "a unknown", "en"), (1200, "a", "en"), (1201, "", "en")] + [(1300 + k, w, "en") for k, w in enumerate(["a", "b", "c", "unknown"])]
     got = {r.doc_id: 10**r.score for r in lm.score(docs(spark, rows + extra), F.col("doc_id") < 1000).collect()}
-    # P(w | start) * P(end | w) are the single words; P(end | unknown) is the root's P(end)
     assert 0 < sum(got[1300 + k] for k in range(4)) + got[1201] < 1
 
 
