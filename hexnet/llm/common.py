@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -64,8 +65,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs, which it does once their frames are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
