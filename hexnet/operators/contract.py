@@ -4,12 +4,13 @@ An edge a -> b heads a chain unless exactly one other edge comes into a (from a
 chain goes on from b while exactly one edge leaves b that doesn't lead straight back.  Chains of min_len
 edges or more become shortcuts beside their first edge; single edges stay.
 
-Chains are built by doubling: after round n every edge knows the chain of up to 2**n edges behind it.
+Chains are built by doubling: round n knows the edge 2**n steps behind every edge, and adds as many edges
+to every head's chain.  Rows are edges of chains, so no row grows with a chain while it is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import TooShortShortcut
@@ -35,33 +36,28 @@ def onward(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min("next").alias("next")).where("n = 1").select("edge", "next")
 
 
-def chains(edges: DataFrame, longest: int = 1 << 16) -> DataFrame:
-    """edge (a head), path (ids of its chain's edges in order).  Runs jobs.
+def chains(edges: DataFrame) -> DataFrame:
+    """edge (a head), path (ids of its chain's edges in order, the head first).  Runs jobs.
 
     A chain stops before an edge that it holds already.
     """
-    rounds = Rounds(edges.sparkSession)
-    step = rounds.write(onward(edges))
-    # path: from an edge on, itself left out; tail: the last of it, which the next round goes on from
-    state = step.select("edge", F.array("next").alias("path"), F.col("next").alias("tail"))
+    spark = edges.sparkSession
+    jumps, kept = Rounds(spark), Rounds(spark)
+    jump = jumps.write(onward(edges))
+    rows = kept.write(heads(edges).select(F.col("edge").alias("head"), F.lit(0).alias("pos"), "edge", F.lit(True).alias("open")))
+    step = 1
     while True:
-        state = rounds.write(state)
-        more = state.select(F.col("edge").alias("tail"), F.col("path").alias("beyond"), F.col("tail").alias("end"))
-        grown = state.where(~F.array_contains("path", F.col("edge"))).join(more, "tail", "left")
-        if not grown.where("beyond is not null").limit(1).count():
+        grown = rows.where("open").join(jump, "edge").select("head", (F.col("pos") + step).alias("pos"), F.col("next").alias("edge"), "open")
+        if not grown.limit(1).count():
             break
-        whole = F.when(F.col("beyond").isNull(), F.col("path")).otherwise(F.concat("path", "beyond"))
-        loops = state.where(F.array_contains("path", F.col("edge")))
-        state = grown.select("edge", whole.alias("path"), F.coalesce("end", "tail").alias("tail"))
-        # a chain that meets itself is cut at the first repeated edge
-        first_again = F.expr("array_min(filter(transform(path, (x, i) -> if(i > 0 and array_contains(slice(path, 1, i), x), i, null)), i -> i is not null))")
-        state = state.withColumn("again", first_again).select("edge", F.expr("if(again is null, path, slice(path, 1, again))").alias("path"), F.expr("if(again is null, tail, edge)").alias("tail"))
-        state = state.unionByName(loops)
-        if state.where(F.size("path") > longest).limit(1).count():
-            break
-    cut = F.expr("if(array_contains(path, edge), slice(path, 1, array_position(path, edge) - 1), path)")
-    found = heads(edges).join(state, "edge", "left")
-    return found.select("edge", F.concat(F.array("edge"), F.coalesce(cut, F.expr("cast(array() as array<bigint>)"))).alias("path"))
+        seen = F.row_number().over(Window.partitionBy("head", "edge").orderBy("pos"))
+        again = F.min(F.when(F.col("seen") > 1, F.col("pos"))).over(Window.partitionBy("head"))
+        both = rows.unionByName(grown).withColumn("seen", seen).withColumn("again", again)
+        rows = kept.write(both.where("again is null or pos < again").select("head", "pos", "edge", (F.col("open") & F.col("again").isNull()).alias("open")))
+        jump = jumps.write(jump.join(jump.select(F.col("edge").alias("next"), F.col("next").alias("beyond")), "next").select("edge", F.col("beyond").alias("next")))
+        step *= 2
+    path = F.transform(F.array_sort(F.collect_list(F.struct("pos", "edge"))), lambda x: x["edge"])
+    return rows.groupBy(F.col("head").alias("edge")).agg(path.alias("path"))
 
 
 def contract(edges: DataFrame, min_len: int = DEFAULT_MIN_LEN, standard: bool = True) -> DataFrame:
