@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,6 @@ def way_points(nodes: DataFrame, ways: DataFrame) -> DataFrame:
 
 def way_cells(points: DataFrame, lattice: Lattice) -> DataFrame:
     """way, pos, cell along the ways' lines."""
-    import pandas as pd
-
     @F.pandas_udf("array<long>")
     def cells(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([line_cells(lattice, list(zip(map(float, x), map(float, y), strict=True))) for x, y in zip(xs, ys, strict=True)])

@@ -54,7 +54,7 @@ def test_catalog(engine):
 
 
 def test_shortest_path_requests(engine, spark):
-    key, o, d = GraphKey("roads", 8), cells(spark, 0, 2, None), cells(spark, 300, 204)
+    key, o, d = GraphKey("roads", 8), cells(spark, 0, 2, None), cells(spark, 260, 200)
     rows = engine.shortest_path(key, o, d, Options(), origin_dataset="people", destination_dataset="people").collect()
     assert rows and set(rows[0].asDict()) == {"h3index_cell_origin", "h3index_cell_destination", "path_length_meters", "travel_duration_secs", "edge_preference", "origin_people", "dest_people"}
     assert all(r.origin_people == r.h3index_cell_origin for r in rows)
