@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, SegmentedPath
+from ..plans.store import ship
 from .lattice import DIRECTIONS, Lattice
 
 EARTH_M = 6378137.0
@@ -133,6 +134,7 @@ def simplify(points: Points, epsilon: float = SIMPLIFY) -> Points:
 
 def route_wkb(paths: DataFrame, centre: Callable[[Column], tuple[Column, Column]], smoothen: bool = True, epsilon: float = SIMPLIFY) -> DataFrame:
     """The paths (with a column cells) with their line as wkb; null for paths without an edge."""
+    ship(paths.sparkSession)
 
     @F.pandas_udf("binary")
     def line(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -186,6 +188,7 @@ def hull(points: Points) -> Points:
 
 def node_hull(nodes: DataFrame, lattice: Lattice) -> Points:
     """The hull of the nodes' centres: of each partition on its own, then of the partitions' hulls."""
+    ship(nodes.sparkSession)
     x, y = lattice.centre(F.col("cell"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,6 +267,7 @@ def polygon_cells(lattice: Lattice, rings: list[Points]) -> list[int]:
 
 def shapes_to_cells(shapes: DataFrame, lattice: Lattice, wkb: str = "wkb") -> DataFrame:
     """The shapes with a row for each of their cells, in a column cell."""
+    ship(shapes.sparkSession)
 
     @F.pandas_udf("array<long>")
     def cells(data: pd.Series) -> pd.Series:
@@ -308,6 +312,7 @@ def outline(cells: list[int], lattice: Lattice) -> list[Points]:
 
 def covered_area(edges: DataFrame, lattice: Lattice, levels: int = 2, tile: int = 64) -> DataFrame:
     """tile, wkb: outlines of the network's cells, coarsened by levels and dissolved within tiles of tile x tile cells."""
+    ship(edges.sparkSession)
     coarse, cell = lattice, F.col("c")
     for _ in range(levels):
         cell, coarse = coarse.parent(cell), coarse.coarser()

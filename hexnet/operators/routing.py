@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..errors import DestinationsNotInGraph, InvalidArgument
 from ..functions.lattice import Lattice
 from ..functions.weights import SCALAR, Profile
-from ..plans.store import Rounds
+from ..plans.store import Rounds, ship
 from . import graph as g
 
 #: About 40 bytes an edge in each Python worker.
@@ -114,6 +114,7 @@ class _Arrays:
 
 
 def _local(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float | None, targets: DataFrame | None, k: int | None) -> DataFrame:
+    ship(edges.sparkSession)
     sc = edges.sparkSession.sparkContext
     arrays = sc.broadcast(_Arrays(edges))
     wanted = None

@@ -1,9 +1,11 @@
-"""Tables in the folder that driver and executors share, which cut lineage between rounds."""
+"""What executors need of the driver: this package, and tables in a shared folder that cut lineage between rounds."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(), "hexnet_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(d, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 class Rounds:
     """Written tables of an iteration: each round's is read by the next, and the one before is deleted."""
 

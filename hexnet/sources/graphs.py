@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..operators.graph import check
+from ..plans.store import ship
 
 SCHEMA = (
     "edge long, src long, dst long, len_m double, edge_preference float, edge_travel_duration float, "
@@ -70,6 +71,7 @@ def read(spark: SparkSession, path: str, resolution=None) -> DataFrame:
 
 def read_ipc(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Arrow IPC files (the file or the stream form) of any store that Spark reads; columns by name, missing ones null."""
+    ship(spark)
     names = [f.name for f in spark.createDataFrame([], schema).schema]
     target = spark.createDataFrame([], schema).toArrow().schema
 

@@ -16,6 +16,7 @@ from ..functions import tags
 from ..functions.geo import line_cells
 from ..functions.lattice import Lattice
 from ..operators import graph as g
+from ..plans.store import ship
 
 #: Ways' analyzers by name: an expression from tags to pref, speed_kmh, bidirectional, or null.
 PROFILES: dict[str, Callable[[Column], Column]] = {"car": tags.car_profile, "foot": tags.foot_profile}
@@ -31,6 +32,7 @@ def way_points(nodes: DataFrame, ways: DataFrame) -> DataFrame:
 
 def way_cells(points: DataFrame, lattice: Lattice) -> DataFrame:
     """way, pos, cell along the ways' lines."""
+    ship(points.sparkSession)
     @F.pandas_udf("array<long>")
     def cells(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series([line_cells(lattice, list(zip(map(float, x), map(float, y), strict=True))) for x, y in zip(xs, ys, strict=True)])
