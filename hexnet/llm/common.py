@@ -3,55 +3,28 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import time
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import store
+
 #: Rows in an Arrow batch.  Documents may be long, so batches are small.
 BATCH_ROWS = 1000
 #: Bytes in an Arrow batch.
 BATCH_BYTES = 32 << 20
 
-_shipped: set[str] = set()
-
-
 def ready(spark: SparkSession) -> None:
     """Sends this package to the Python workers and bounds the batches that they get."""
-    sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "hexnet_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(d, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="hexnet-shared-"))
-        found = sc._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
+    store.ship(spark)
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/hexnet-{tag}-{uuid.uuid4().hex}"
+    return f"{store.shared_dir(spark)}/hexnet-{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
