@@ -16,6 +16,7 @@ BATCH_ROWS = 1000
 #: Bytes in an Arrow batch.
 BATCH_BYTES = 32 << 20
 
+
 def ready(spark: SparkSession) -> None:
     """Sends this package to the Python workers and bounds the batches that they get."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
