@@ -73,7 +73,6 @@ class Index:
                 lists[t].append((k, v))
                 self.most[t, k // BLOCK] = max(self.most[t, k // BLOCK], v)
         self.postings = [(np.array([k for k, _ in own], np.int64), np.array([v for _, v in own])) for own in lists]
-        self.cuts = [np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK) for ids, _ in self.postings]
         self.curve = (1.0, 0.0)
         self.memory: dict = {}
 
@@ -97,22 +96,35 @@ class Index:
         return found
 
     def nearest(self, tf: dict[str, float], leave: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the K nearest examples that share a term, nearest first, ties by place."""
+        """(cosine, example) of the K nearest examples that share a term, nearest first, ties by place.
+
+        Cosines are rounded to nine decimals, so that equal ones are ties.  Blocks are visited in the order
+        of their bounds, twice as many each time, until no block left can hold a nearer example.
+        """
         which, w = self.vector(tf)
-        bound = w @ self.most[which] * (1 + 1e-12) if self.blocks else np.zeros(0)
-        best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(len(bound)), -bound)):
-            if not bound[b] or len(best) == K and (bound[b] < best[-1][0]):
-                break
-            score = np.zeros(BLOCK)
+        bound = np.round(w @ self.most[which], 9)
+        left, first, visit = bound > 0, np.arange(self.blocks) * BLOCK, 4
+        ids, cosines = np.zeros(0, np.int64), np.zeros(0)
+        while left.any():
+            some = np.flatnonzero(left)
+            now = np.zeros(self.blocks, bool)
+            now[some[np.lexsort((some, -bound[some]))[:visit]]] = True
+            score = np.zeros(self.blocks * BLOCK)
             for t, v in zip(which, w, strict=True):
-                at, to = self.cuts[t][b], self.cuts[t][b + 1]
-                if at < to:
-                    ids, weights = self.postings[t]
-                    score[ids[at:to] - b * BLOCK] += v * weights[at:to]
-            here = [(float(score[k]), int(b) * BLOCK + int(k)) for k in np.flatnonzero(score)]
-            best = sorted(best + [x for x in here if x[1] != leave], key=lambda x: (-x[0], x[1]))[:K]
-        return best
+                own, weights = self.postings[t]
+                here = now[own // BLOCK]
+                score[own[here]] += v * weights[here]
+            score = np.round(score, 9)
+            new = np.flatnonzero(score)
+            new = new[new != leave]
+            ids, cosines = np.concatenate([ids, new]), np.concatenate([cosines, score[new]])
+            best = np.lexsort((ids, -cosines))[:K]
+            ids, cosines = ids[best], cosines[best]
+            left &= ~now
+            if len(ids) == K:
+                left &= (bound > cosines[-1]) | (bound == cosines[-1]) & (first < ids[-1])
+            visit *= 2
+        return list(zip(cosines.tolist(), ids.tolist(), strict=True))
 
     def vote(self, best: list[tuple[float, int]]) -> float:
         own = [k for _, k in best]
