@@ -11,8 +11,11 @@ pairs below a minimum are left, and the rest are verified by counting differing
             shingles with a Jaccard similarity of 0.8 differ in 15 % of the bits, and share about 17 of 64
             bytes; postings are keyed by two bytes at 40 pairs of places.  A pair of similarity 0.8 has
             no list in common with a probability of 5 %, one of 0.85 with 0.5 %.
+            These pairs are candidates: the exact Jaccard similarity of their sets of shingles decides.
+            First each candidate's nearest one of each list is verified, then all candidates that are not in
+            one component by then, so that large groups of near copies need few pairs and none is assumed.
 
-Only distinct fingerprints are indexed, and a list gives links that connect what is linked within it
+Only distinct fingerprints are indexed, and a list of STRICT gives links that connect what is linked within it
 (a spanning forest) rather than all its pairs, so a large group of near copies costs as many links as it
 has members.  Components are found by passing on the smallest reachable document id, in tables that are
 written to the shared folder after each round.
@@ -31,12 +34,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 _SHINGLES_AT_ONCE = 1 << 14
+#: Lists up to this length are compared together, longer ones each in blocks of so many pairs.
+_SHORT = 32
+_PAIRS_AT_ONCE = 1 << 17
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 
 
@@ -45,6 +51,8 @@ class Scheme:
     """words: 64-bit words of a fingerprint.  places: the byte places that key a posting list each.
     shared: bytes that a pair must share.  distance: bits in which it may differ.  sets: each shingle
     counts once.  long_list: a longer list is divided by one more byte, which needs shared > len(places[0]).
+    similarity: if given, pairs within these bounds are candidates only, and link if their sets of shingles
+    have this Jaccard similarity or more.
     """
 
     words: int
@@ -53,6 +61,7 @@ class Scheme:
     distance: int
     sets: bool
     long_list: int | None
+    similarity: float | None = None
 
 
 #: Every four of the eight places hold one of these triples: three places of one group, or two of one and one of the next.
@@ -62,19 +71,30 @@ STRICT = Scheme(
     + tuple((*two, one) for k, g in enumerate(_GROUPS) for two in combinations(g, 2) for one in _GROUPS[(k + 1) % 3]),
     4, 4, False, 4096,
 )
-WIDE = Scheme(8, tuple((k, (k + step) % 64) for step in (1, 11) for k in range(0, 60, 3)), 8, 88, True, None)
+WIDE = Scheme(8, tuple((k, (k + step) % 64) for step in (1, 11) for k in range(0, 60, 3)), 8, 88, True, None, 0.8)
 
 
-def fingerprint(text: str | None, size: int = 4, scheme: Scheme = STRICT) -> bytes:
-    """The fingerprint's words, each with its highest byte first."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The hashes of a text's shingles, in order."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = max(1, len(words) - size + 1) if words else 0
-    if not n:
-        return bytes(8 * scheme.words)
     digest = xxhash.xxh64_intdigest
-    every = np.fromiter((digest(b" ".join(words[k : k + size]), 42) for k in range(n)), np.uint64, n)
+    return np.fromiter((digest(b" ".join(words[k : k + size]), 42) for k in range(n)), np.uint64, n)
+
+
+def jaccard(one: np.ndarray, other: np.ndarray) -> float:
+    """Of two arrays of distinct hashes; 1 for two empty ones."""
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both / (len(one) + len(other) - both) if len(one) or len(other) else 1.0
+
+
+def fingerprint(text: str | None, size: int = 4, scheme: Scheme = STRICT) -> bytes:
+    """The fingerprint's words, each with its highest byte first."""
+    every = shingles(text, size)
+    if not len(every):
+        return bytes(8 * scheme.words)
     if scheme.sets:
         every = np.unique(every)
     counts = np.zeros((scheme.words, 64), np.int64)
@@ -92,15 +112,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(documents: DataFrame, size: int, scheme: Scheme) -> DataFrame:
-    """doc_id and fp."""
+def fingerprints(documents: DataFrame, size: int, scheme: Scheme, *columns: Column) -> DataFrame:
+    """doc_id, fp and the columns given."""
     common.ready(documents.sparkSession)
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fingerprint(t, size, scheme)) if texts.notna().all() else pd.Series([fingerprint(t, size, scheme) for t in texts])
 
-    return documents.select(F.col("doc_id").cast("long"), of("text").alias("fp"))
+    return documents.select(F.col("doc_id").cast("long"), of("text").alias("fp"), *columns)
 
 
 def near(one: np.ndarray, others: np.ndarray, scheme: Scheme) -> np.ndarray:
@@ -186,6 +206,125 @@ def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
+def candidates(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """a < b: pairs of rows (node, fp) that have a list in common and are near enough.
+
+    Without a column root, each node is paired with its nearest one of each list only, so a list gives no
+    more pairs than it has members.  With it, all pairs are given whose roots differ.
+    """
+    width, roots = 8 * scheme.words, "root" in nodes.columns
+    own = ["key", "node", "fp", *(["root"] if roots else [])]
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            data = np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(-1, width).astype(np.int64)
+            for k, places in enumerate(scheme.places):
+                key = np.zeros(len(data), np.int64)
+                for p in places:
+                    key = key << 8 | data[:, p]
+                yield batch.assign(key=key << 8 | k)[own]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["key"].iloc[-1]
+            start = int(np.searchsorted(batch["key"].to_numpy(), last))
+            if start or held and held[-1]["key"].iloc[-1] != last:
+                yield _list_pairs(pd.concat([*held, batch.iloc[:start]]), scheme)
+                held = []
+            held.append(batch.iloc[start:])
+        if held:
+            yield _list_pairs(pd.concat(held), scheme)
+
+    kinds = "key long, node long, fp binary" + (", root long" if roots else "")
+    return nodes.mapInPandas(keys, kinds).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
+
+
+def _list_pairs(rows: pd.DataFrame, scheme: Scheme) -> pd.DataFrame:
+    """candidates of whole lists, which are sorted by key."""
+    key, ids = rows["key"].to_numpy(), rows["node"].to_numpy()
+    roots = rows["root"].to_numpy() if "root" in rows else None
+    fps = np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1)
+    bits = fps.view(np.uint64)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    lengths = np.diff(np.append(starts, len(key)))
+    short = np.repeat(lengths <= _SHORT, lengths)
+    out = []
+
+    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if roots is not None:
+            some = roots[i] != roots[j]
+            i, j = i[some], j[some]
+        d = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+        some = d <= scheme.distance
+        i, j, d = i[some], j[some], d[some]
+        some = (fps[i] == fps[j]).sum(1) >= scheme.shared
+        return i[some], j[some], d[some]
+
+    def give(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        if roots is None:  # the nearest j of each i
+            order = np.lexsort((ids[j], d, i))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            i, j = i[first], j[first]
+        out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+
+    found = []
+    for step in range(1, int(lengths[lengths <= _SHORT].max(initial=0))):
+        i = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
+        found.append(kept(i, i + step))
+    if found:
+        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        give(*((i, j, d) if roots is not None else (np.append(i, j), np.append(j, i), np.append(d, d))))
+    for start, n in zip(starts[lengths > _SHORT], lengths[lengths > _SHORT], strict=True):
+        rows_at_once = max(1, _PAIRS_AT_ONCE // int(n))
+        for at in range(start, start + n, rows_at_once):
+            i, j = np.meshgrid(np.arange(at, min(at + rows_at_once, start + n)), np.arange(start, start + n), indexing="ij")
+            other = i < j if roots is not None else i != j
+            give(*kept(i[other], j[other]))
+    every = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame(every, columns=["a", "b"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs a, b whose sets (node, hashes as bytes) have a Jaccard similarity of least or more."""
+
+    @F.pandas_udf("double")
+    def of(one: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(one, other, strict=True)], dtype=float)
+
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.where(of("x", "y") >= least).select("a", "b")
+
+
+def verified(documents: DataFrame, nodes: DataFrame, size: int, scheme: Scheme) -> DataFrame:
+    """node, root of all nodes but the roots, by links between sets of shingles that are similar enough.
+
+    nodes: node, fp, and doc_id and text_hash of a document that has it.  The nearest candidates are verified first;
+    of the other candidates, all that are not in one component by then.  So no pair of candidates is
+    left unverified that could link two components, and many near copies of a document are few pairs.
+    """
+    first = common.materialize(candidates(nodes.select("node", "fp"), scheme).distinct(), "near")
+    some = first.select("a").union(first.select("b")).distinct().toDF("node")
+    busy = common.materialize(nodes.join(some, "node", "left_semi"), "busy")
+
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(t, size)).tobytes() for t in texts])
+
+    named = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = named.join(busy.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["node"])
+    sets = common.materialize(texts.select("node", hashes("text").alias("hashes")), "sets")
+    links = common.materialize(similar(first, sets, scheme.similarity), "links")
+    found = components(links)
+    rooted = common.materialize(busy.join(found, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "rooted")
+    rest = candidates(rooted, scheme).distinct().join(first, ["a", "b"], "left_anti")
+    more = similar(common.materialize(rest, "rest"), sets, scheme.similarity)
+    return components(links.union(more))
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """Edges of each partition, replaced with edges to the smallest node reachable within the partition."""
 
@@ -235,6 +374,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(documents: DataFrame, size: int = 4, scheme: Scheme = STRICT) -> DataFrame:
     """Per row: doc_id, fingerprint (hex digits), component_id (the smallest doc_id reachable)."""
+    if scheme.similarity is not None:
+        docs = _rooted(documents, size, scheme)
+        least = docs.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        return docs.join(least, "root").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
     docs = common.materialize(fingerprints(documents, size, scheme), "fingerprints")
     distinct = common.materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     found = components(links(distinct, scheme))
@@ -242,6 +385,16 @@ def classes(documents: DataFrame, size: int = 4, scheme: Scheme = STRICT) -> Dat
     return docs.join(of, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def _rooted(documents: DataFrame, size: int, scheme: Scheme) -> DataFrame:
+    """doc_id, fp, text_hash and root: equal for rows of a component.  Rows are told apart by id and text, as ids may clash."""
+    docs = common.materialize(fingerprints(documents, size, scheme, F.xxhash64("text").alias("text_hash")), "fingerprints")
+    one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("one")
+    distinct = common.materialize(docs.groupBy("fp").agg(one).select(F.xxhash64("fp").alias("node"), "fp", "one.*"), "distinct")
+    found = verified(documents, distinct.where("doc_id is not null"), size, scheme)
+    of = distinct.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return common.materialize(docs.join(of, "fp"), "rooted")
+
+
 def first_of_each(documents: DataFrame, size: int = 5, scheme: Scheme = WIDE) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, once; all columns stay.
 

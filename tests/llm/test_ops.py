@@ -6,6 +6,7 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,50 @@ def test_first_of_each(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, 10, 20, 30, 40, 50, None, 999], key=str)
 
 
+def _altered(seed, n=240):
+    """Pairs of ids (2 k, 2 k + 1) and texts of 60 to 300 words, the second with some words changed at the end."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        m = int(rng.integers(60, 300))
+        words = [f"p{k}x{x}" for x in range(m)]
+        cut = int((m - 4) * rng.uniform(0.05, 0.2))
+        rows += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(words[:-cut] + [f"q{k}x{x}" for x in range(cut)]), "en")]
+    sets = [{tuple(t.split()[x : x + 5]) for x in range(len(t.split()) - 4)} for _, t, _ in rows]
+    return rows, {2 * k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(n)}
+
+
+def test_wide_links_only_similar(spark):
+    rows, similarity = _altered(5)
+    assert sum(0.7 <= s < 0.8 for s in similarity.values()) > 20
+    comp = {r.doc_id: r.component_id for r in simhash.classes(docs(spark, rows), 5, simhash.WIDE).collect()}
+    assert not [(k, s) for k, s in similarity.items() if s < 0.8 and comp[k] == comp[k + 1]]
+
+
+def test_wide_group_whose_members_differ(spark):
+    """Copies of one text that are similar to it but not to each other are one group; similar to none, none."""
+    words = [f"w{x}" for x in range(204)]
+    own = lambda k, n: " ".join(words[: 10 * k] + [f"c{k}x{x}" for x in range(n)] + words[10 * k + n :])
+    close, far = [(k, own(k - 1, 10), "en") for k in range(1, 20)], [(100 + k, own(k, 25).replace("w", "v"), "en") for k in range(0, 18, 3)]
+    comp = {r.doc_id: r.component_id for r in simhash.classes(docs(spark, [*close, (50, " ".join(words), "en"), *far]), 5, simhash.WIDE).collect()}
+    assert all(comp[k] == 1 for k in [*range(1, 20), 50]) and all(comp[d] == d for d, _, _ in far)
+
+
+def test_lists_of_any_length_and_batches():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, 64, dtype=np.uint8)
+    fps = np.array([base ^ (rng.random(64) < 0.2) * rng.integers(0, 256, 64, dtype=np.uint8) for _ in range(150)], np.uint8)
+    rows = pd.DataFrame({"key": np.repeat([1, 2, 3], [20, 90, 40]), "node": rng.permutation(150), "fp": [x.tobytes() for x in fps]})
+    rows["root"] = rows["node"] % 4
+    want = set()
+    for _, own in rows.groupby("key"):
+        for (a, x, r), (b, y, q) in itertools.combinations(zip(own["node"], own["fp"], own["root"]), 2):
+            both = np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)
+            if r != q and np.bitwise_count(both).sum() <= simhash.WIDE.distance and (both == 0).sum() >= simhash.WIDE.shared:
+                want.add((min(a, b), max(a, b)))
+    assert want and {tuple(x) for x in simhash._list_pairs(rows, simhash.WIDE).to_numpy().tolist()} == want
+
+
 # ---------------------------------------------------------------- classifiers
 
 def _learned(spark, rows, which):
