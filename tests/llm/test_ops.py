@@ -272,6 +272,15 @@ def test_wide_links_only_similar(spark):
     assert not [(k, s) for k, s in similarity.items() if s < 0.8 and comp[k] == comp[k + 1]]
 
 
+def test_wide_against_brute_force(spark):
+    rows, similarity = _altered(7, 400)
+    near = {k for k, s in similarity.items() if s >= 0.8}
+    assert sum(similarity[k] < 0.85 for k in near) > 60
+    comp = {r.doc_id: r.component_id for r in simhash.classes(docs(spark, rows), 5, simhash.WIDE).collect()}
+    missed = [k for k in near if comp[k + 1] != k]
+    assert len(missed) <= 2 and {k for k in similarity if comp[k + 1] == k} <= near, missed
+
+
 def test_wide_group_whose_members_differ(spark):
     """Copies of one text that are similar to it but not to each other are one group; similar to none, none."""
     words = [f"w{x}" for x in range(204)]
