@@ -393,7 +393,8 @@ def _rooted(documents: DataFrame, size: int, scheme: Scheme) -> DataFrame:
     docs = common.materialize(fingerprints(documents, size, scheme, F.xxhash64("text").alias("text_hash")), "fingerprints")
     one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("one")
     distinct = common.materialize(docs.groupBy("fp").agg(one).select(F.xxhash64("fp").alias("node"), "fp", "one.*"), "distinct")
-    found = verified(documents, distinct.where("doc_id is not null"), size, scheme)
+    nodes = distinct.where("doc_id is not null")
+    found = verified(documents, nodes, size, scheme) if scheme.similarity is not None else components(links(nodes.select(F.col("node").alias("rep"), "fp"), scheme))
     of = distinct.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     return common.materialize(docs.join(of, "fp"), "rooted")
 
@@ -401,7 +402,10 @@ def _rooted(documents: DataFrame, size: int, scheme: Scheme) -> DataFrame:
 def first_of_each(documents: DataFrame, size: int = 5, scheme: Scheme = WIDE) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, once; all columns stay.
 
-    Texts without words are copies of each other.  Rows with a null doc_id stay.
+    Texts without words are copies of each other.  Rows with a null doc_id stay.  Of a group's texts with
+    the smallest id, the one with the smallest hash stays; an id stays with each text that is in a group of its own.
     """
-    firsts = classes(documents, size, scheme).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+    own = F.struct(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    firsts = _rooted(documents, size, scheme).where("doc_id is not null").groupBy("root").agg(F.min(own).alias("one")).select("one.*")
+    at = (documents["doc_id"].cast("long") == firsts["__id"]) & (F.xxhash64(documents["text"]) == firsts["__hash"])
+    return documents.join(firsts, at, "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(documents.where("doc_id is null"))

@@ -305,6 +305,14 @@ def test_lists_of_any_length_and_batches():
     assert want and {tuple(x) for x in simhash._list_pairs(rows, simhash.WIDE).to_numpy().tolist()} == want
 
 
+@pytest.mark.parametrize("scheme", [simhash.WIDE, simhash.STRICT])
+def test_first_of_each_with_clashing_ids(spark, scheme):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    rows = [(5, a, "en"), (5, b, "en"), (5, b, "en"), (3, a, "en"), (8, c, "en"), (8, a, "en"), (9, c, "en")]
+    for order in (rows, rows[::-1]):
+        assert sorted((r.doc_id, r.text) for r in simhash.first_of_each(docs(spark, order), scheme=scheme).collect()) == [(3, a), (5, b), (8, c)]
+
+
 # ---------------------------------------------------------------- classifiers
 
 def _learned(spark, rows, which):
