@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,27 +26,26 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{store.shared_dir(spark)}/hexnet-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage is cut and lost executors lose nothing."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder, in a folder for each value of ``by``, and reads it again: the lineage
+    is cut and lost executors lose nothing.  What is left at the end of the application is deleted then.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs, which it does once their frames are collected as garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a path of any Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(written: DataFrame) -> None:
+    """Deletes what ``materialize`` has written, once nothing reads it any more."""
+    spark = written.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written._written_at)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
