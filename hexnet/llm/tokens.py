@@ -1,14 +1,17 @@
 """Token ids of texts, with a memory of words seen before.
 
 A tokenizer of the ``tokenizers`` library cuts a text into pre-tokens and encodes each of them on its
-own.  A space or a line feed between two other characters always ends a pre-token of the tokenizers
-supported here, so a text can be encoded word by word, and words that came before need not be encoded
-again.  Texts with any other white space, with control characters or with special tokens are handed to
-the tokenizer whole.
+own.  With the two kinds of pre-tokenization in ``_KINDS`` a space or a line feed between two other
+characters always ends a pre-token, so a text can be encoded word by word, and words that came before need not be
+encoded again.  Words of ASCII letters are encoded many at a time, as each is one pre-token; a comma or a full stop
+after one is another.  Any other word is encoded by itself.  Texts with any other white space, with
+control characters or with special tokens are handed to the tokenizer whole, and so is every text if
+the tokenizer is of another kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -19,6 +22,20 @@ MEMORY = 600_000
 #: White space and separators besides a single space or line feed: such texts are encoded whole.
 _ODD = re.compile("[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _WORDS_AT_ONCE = 512
+#: Normalizer and pre-tokenizer of the kinds of files whose texts can be encoded word by word.
+_KINDS = {
+    "spaced": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "ended": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+}
 _loaded: dict[str, "WordEncoder"] = {}
 
 
@@ -39,7 +56,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends_words = any(t.endswith("</w>") for t in vocab)
+        own = json.loads(self.tokenizer.to_str())
+        found = [k for k, v in _KINDS.items() if v == (own["normalizer"], own["pre_tokenizer"]) and own["model"]["type"] == "BPE" and not own["model"].get("dropout") and not own["model"].get("ignore_merges")]
+        #: "spaced": a word's space is part of its first token; "ended": its last token ends with a mark; None: encode whole texts
+        self.kind = found[0] if found else None
+        self.ends_words = self.kind == "ended"
         self.mark = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for t, i in vocab.items():
             self.mark[i] = t.endswith("</w>") if self.ends_words else t.startswith("Ġ")
@@ -49,14 +70,13 @@ class WordEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> None:
-        """Words of letters only, each with a space before it; many of them are encoded as one text."""
+        """Words of ASCII letters, each with a space before it; many of them are encoded as one text."""
         for at in range(0, len(words), _WORDS_AT_ONCE):
             some = words[at : at + _WORDS_AT_ONCE]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.mark[ids])
-            if len(cut) != len(some):  # a letter whose lower-case form is not a letter alone, for example
-                self.memory.update(zip(some, self._whole(some), strict=True))
-                continue
+            if len(cut) != len(some):
+                raise ValueError("a word of letters isn't one pre-token")
             ends = (np.append(cut[1:], len(ids)) if not self.ends_words else cut + 1) * 4
             all_bytes, ends = ids.tobytes(), ends.tolist()
             starts = [0, *ends[:-1]]
@@ -65,10 +85,10 @@ class WordEncoder:
     def _learn(self, new: set[str]) -> None:
         letters, odd, joined = set(), [], []
         for w in new:
-            stem = w[1:] if w[:1] == " " else w
-            if w[:1] == " " and stem.isalpha():
+            plain = w[:1] == " " and w.isascii()
+            if plain and w[1:].isalpha():
                 letters.add(w)
-            elif w[-1:] in ".," and w[:1] == " " and stem[:-1].isalpha():
+            elif plain and w[-1] in ".," and w[1:-1].isalpha():
                 joined.append(w)
                 if w[:-1] not in self.memory:
                     letters.add(w[:-1])
@@ -87,7 +107,9 @@ class WordEncoder:
         whole = []
         for k, t in enumerate(texts):
             t = t or ""
-            if self.ends_words:
+            if not self.kind:
+                plain, words = False, []
+            elif self.ends_words:
                 plain = not _ODD.search(t)
                 words = [" " + w for w in t.split()] if plain else []
             else:
