@@ -5,8 +5,8 @@ with two unpacked pieces that fit its expanded gap (the gap and the replaced pie
 there are two such pieces; the replaced piece goes back to the unpacked ones.
 
 Defined results: a null text is an empty document and has the end token alone; repeated rows are packed
-as often as they come; a null doc_id stays null; an empty table gives no row; further columns are
-ignored.  Only documents longer than a sequence are cut, from the end, so the first piece may be short.
+as often as they come; a null doc_id stays null and changes no other id; pieces of equal length are taken
+in the order of id, piece and start; an empty table gives no row; further columns are ignored.  Only documents longer than a sequence are cut, from the end, so the first piece may be short.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from . import common
 #: Pieces that one task packs.  Its last bin or two may stay open, so groups are large.
 GROUP = 25_000
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PACKED = "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -115,7 +115,9 @@ def pack(cut_up: DataFrame, size: int) -> DataFrame:
         return pd.DataFrame({c: pdf[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}).assign(sequence_id=own, offset=offset)
 
     dealt = cut_up.withColumn("grp", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(groups)).cast("int"))
-    return dealt.groupBy("grp").applyInPandas(run, PACKED)
+    # ids as text: a column of longs with nulls would pass through doubles
+    packed = dealt.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("grp").applyInPandas(run, PACKED)
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
