@@ -38,6 +38,10 @@ from . import common
 SHARD_CHARS = 16 << 20
 #: A file is closed at about so many bytes, so that it can be read as one value.
 SHARD_BYTES = 64 << 20
+#: Parts whose files are summed by one task.
+BIN = 1024
+#: Tasks that read files, at most; each reads file after file.
+MOST_TASKS = 100_000
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 _MASK = 0xA282EAD8
@@ -69,17 +73,25 @@ def parse(data: bytes | memoryview, at: int) -> tuple[int | None, np.ndarray, in
 
 
 def _open(path: str):
+    """File system and path of a qualified path, for pyarrow, which has another name for one scheme of Hadoop's."""
     from pyarrow import fs
 
     if "://" not in path and path.startswith("file:"):
         path = path[len("file:") :]
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri("s3://" + path[6:] if path.startswith("s3a://") else path)
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """With the scheme that Spark would give it, so that executors write where Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Writes all documents in order below folder; returns the manifest, read from folder/manifest."""
     spark = documents.sparkSession
     common.ready(spark)
+    folder = _qualified(spark, folder)
     end = np.array([end_id], dtype="<u4").tobytes()
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -120,31 +132,38 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """part, seq, path, n_docs, n_tokens and start: the tokens in all files before.  One row for a file."""
-    files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+    """part, seq, path, n_docs, n_tokens and start: the tokens in all files before.  One row for a file.
+
+    Sums are taken within bins of parts, then over the bins, so no task sorts all files.
+    """
+    files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").withColumn("bin", F.floor(F.col("part") / BIN))
+    bins = files.groupBy("bin").agg(F.sum("n_tokens").alias("all"))
+    at = bins.select("bin", F.coalesce(F.sum("all").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("bin").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("within", within).join(at, "bin").select("part", "seq", "path", "n_docs", "n_tokens", (F.col("at") + F.col("within")).cast("long").alias("start"))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every record, checked as it is read.
 
-    Spark reads the files and their indexes, from any store; records are found by the index.
+    The manifest's rows are dealt to tasks; each opens its files and their indexes, and finds records by the index.
     """
     common.ready(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{rec,idx}").load(folder).select(
-        F.regexp_extract("path", r"([^/]+)\.(rec|idx)$", 1).alias("name"), F.regexp_extract("path", r"\.(rec|idx)$", 1).alias("kind"), "content"
-    )
-    known = manifest(spark, folder).select(F.regexp_extract("path", r"([^/]+)\.rec$", 1).alias("name"), "start")
-    data = files.where("kind = 'rec'").join(known, "name").select("name", "start", F.col("content").alias("data"))
-    both = data.join(files.where("kind = 'idx'").select("name", F.col("content").alias("idx")), "name").select("start", "data", "idx")
+    files = manifest(spark, folder).select("path", "start")
+    tasks = max(1, min(MOST_TASKS, spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").count()))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                data, start, out = memoryview(batch["data"][k].as_buffer()), batch["start"][k].as_py(), []
-                places = np.frombuffer(batch["idx"][k].as_buffer(), "<u8").tolist()
+            for name, start in zip(batch["path"].to_pylist(), batch["start"].to_pylist(), strict=True):
+                store, path = _open(name)
+                with store.open_input_file(path) as f:
+                    data = memoryview(f.read())
+                with store.open_input_file(path.removesuffix(".rec") + ".idx") as f:
+                    places = np.frombuffer(f.read(), "<u8").tolist()
+                if not places or places[-1] != len(data):
+                    raise ValueError(f"the index doesn't match the length of {name}")
+                out = []
                 for at, after in zip(places[:-1], places[1:], strict=True):
                     doc_id, ids, stop = parse(data, at)
                     if stop != after:
@@ -153,4 +172,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return both.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
