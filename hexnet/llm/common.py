@@ -81,7 +81,19 @@ def sample(rows: DataFrame, by: str, per: int) -> DataFrame:
     return rows.where(wanted)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, keep: Column, per_class: int) -> DataFrame:
-    """doc_id, text, label of about per_class labelled documents of each label."""
-    ids = sample(once_per_id(labels, column).where(keep), "label", per_class)
-    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, keep: Column, per_class: int, longest: int, chars: int) -> DataFrame:
+    """doc_id, text, label (0 or 1) of about per_class labelled documents of each label, written to the shared folder.
+
+    Documents of more than ``longest`` characters are no examples; where a label's examples have more than ``chars``
+    characters in all, fewer are taken, so the sample is bounded in bytes too.
+    """
+    label = F.least(F.greatest(F.col("label"), F.lit(0)), F.lit(1)).alias("label")
+    ids = sample(once_per_id(labels, column).where(keep).select("doc_id", label), "label", per_class)
+    rows = documents.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    chosen = materialize(rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), "sample")
+    share = {r["label"]: r["n"] or 0 for r in chosen.groupBy("label").agg(F.sum(F.length("text")).alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(1 << 30))
+    for k, n in share.items():
+        if n > chars:
+            chosen = chosen.where((F.col("label") != k) | (place < int((1 << 30) * chars / n)))
+    return chosen

@@ -1,23 +1,26 @@
 """Text quality by a linear-chain conditional random field over the lines of a document.
 
 Every line is labelled good or bad.  The potentials of a line's labels are linear in features of the line
-and of the lines beside it; a table of four weights joins the labels of neighbouring lines.  Forward and
-backward passes give the marginal probability that a line is good; their mean, weighted by the lengths
-of the lines, is the document's quality, calibrated by a logistic curve.
+and of the lines beside it: shares of kinds of characters and words, hashed words, and the order of words (pairs of
+the shapes of words that follow each other, with the line's start and end).  A table of four weights joins the labels
+of neighbouring lines.  Forward and backward passes give the marginal probability that a line is good; their mean,
+weighted by the lengths of the lines, is the document's quality, calibrated by a logistic curve.
 
-Labels are of documents, and a training document's lines share its label.  The field is fitted by
-maximum likelihood on the driver, from about ``per_class`` labelled documents of each label; of these only
-feature vectors, of at most TRAIN_LINES lines, evenly spread over a longer document, leave the executors.
-Scoring reads every line of every text.
+Labels are of documents, and lines may differ from them: a line has its document's label with probability AGREE, and
+the field maximizes the likelihood of the documents' labels with the lines' labels summed out.  Each
+step compares the marginals given the document's label with those without it.  The field is fitted on the
+driver, on the whole chains of about ``per_class`` labelled documents of each label of at most EXAMPLE_CHARS
+characters, fewer where their characters exceed SAMPLE_CHARS.  Scoring reads every line of every text.
 
 Defined results: a null, empty or blank text has one line without words; repeated rows are scored as
-often as they come; without labels of both kinds every score is 0.5 or the share of good labels; an empty
-table gives no row; further columns are ignored.
+often as they come; a score of exactly 0.5 counts as good; without labels of both kinds every score is 0.5 or the
+share of good labels; an empty table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,12 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_CLASS = 2500
-TRAIN_LINES = 64
-#: A line longer than this is described by its words in chunks, averaged, so that no line needs much memory.
+EXAMPLE_CHARS, SAMPLE_CHARS = 200_000, 8 << 20
+#: How often a line has its document's label.
+AGREE = 0.9
+#: Buckets of hashed words, and shapes of words; the last shape is a line's start or end.
+BUCKETS, SHAPES = 1 << 13, 16
+_REMEMBERED = 300_000
 _MARKS = dict.fromkeys(map(ord, "!#$%&*@^~=<>{}[]|\\/_+"), None)
 _ENDS = ".,;:?!"
 N_OWN = 16
@@ -57,8 +64,39 @@ def line_features(line: str) -> list[float]:
     ]
 
 
-def describe(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each line with those of its neighbours and of its place, and the lines' lengths."""
+def shape_of(word: str) -> int:
+    """Whether a word is small, capitalized, in capitals, with a digit or another, and what mark ends it."""
+    core = word.rstrip(_ENDS)
+    if core.islower():
+        kind = 0
+    elif core.isupper() and len(core) > 1:
+        kind = 2
+    elif core[:1].isupper():
+        kind = 1
+    else:
+        kind = 3 if any(map(str.isdigit, core)) else 4
+    return 3 * kind + (0 if core == word else 2 if word[-1] in ".?!" else 1)
+
+
+def bucket_of(word: str) -> int:
+    return zlib.crc32(word.lower().strip(_ENDS).encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+class _Memory(dict):
+    """What is known of words; emptied when it gets too large."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        self[word] = value = self.of(word)
+        return value
+
+
+def describe(text: str | None) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Features of each line with those of its neighbours and of its place, the lines' lengths and words."""
     lines = (text or "").split("\n")
     seen: dict[str, int] = {}
     own = np.array([line_features(x) for x in lines])
@@ -72,28 +110,54 @@ def describe(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     place = np.zeros((len(lines), 3))
     place[0, 0] = place[-1, 1] = 1
     place[:, 2] = len(lines) == 1
-    return np.hstack([own, before, after, place, np.ones((len(lines), 1))]), np.array([len(x) + 1.0 for x in lines])
+    return np.hstack([own, before, after, place, np.ones((len(lines), 1))]), np.array([len(x) + 1.0 for x in lines]), [x.split() for x in lines]
+
+
+def sparse_features(words: list[str], shapes: _Memory, buckets: _Memory) -> tuple[list[int], list[float]]:
+    """Places and values of a line's words and pairs of shapes; each kind sums to 1."""
+    if not words:
+        return [], []
+    s = [SHAPES - 1, *map(shapes.__getitem__, words), SHAPES - 1]
+    n = len(words)
+    return [*map(buckets.__getitem__, words), *(BUCKETS + SHAPES * a + b for a, b in zip(s, s[1:], strict=False))], [1 / n] * n + [1 / (n + 1)] * (n + 1)
 
 
 WIDTH = 3 * (N_OWN + 1) + 4
+SPARSE = BUCKETS + SHAPES * SHAPES
 
 
 class Field:
-    """w: weights of the potential of "good" against "bad"; join: [label before, label] -> weight."""
+    """w: weights of the potential of "good" against "bad", sparse: those of words and shapes; join: [label before, label] -> weight."""
 
-    def __init__(self, w: np.ndarray, join: np.ndarray, curve: tuple[float, float]):
-        self.w, self.join, self.curve = w, join, curve
+    def __init__(self, w: np.ndarray, sparse: np.ndarray, join: np.ndarray, curve: tuple[float, float]):
+        self.w, self.sparse, self.join, self.curve = w, sparse, join, curve
+        self._ready()
 
-    def marginals(self, x: np.ndarray) -> np.ndarray:
-        """P(good) of each line."""
-        return chain(np.clip(x @ self.w, -30, 30), self.join)[0]
+    def _ready(self) -> None:
+        words, pairs = self.sparse[:BUCKETS].tolist(), self.sparse[BUCKETS:].reshape(SHAPES, SHAPES).tolist()
+        self._shape = _Memory(shape_of)
+        self._word = _Memory(lambda w: words[bucket_of(w)])
+        self._pair = {(a, b): pairs[a][b] for a in range(SHAPES) for b in range(SHAPES)}
 
-    def raw(self, x: np.ndarray, lengths: np.ndarray) -> float:
-        return float(self.marginals(x) @ lengths / lengths.sum())
+    def __reduce__(self):
+        return Field, (self.w, self.sparse, self.join, self.curve)
+
+    def potentials(self, x: np.ndarray, words: list[list[str]]) -> np.ndarray:
+        more = []
+        for line in words:
+            s = [SHAPES - 1, *map(self._shape.__getitem__, line), SHAPES - 1]
+            more.append(sum(map(self._word.__getitem__, line)) / len(line) + sum(map(self._pair.__getitem__, zip(s, s[1:], strict=False))) / (len(line) + 1) if line else 0.0)
+        return np.clip(x @ self.w + np.array(more), -30, 30)
+
+    def marginals(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """P(good) of each line, and the lines' lengths."""
+        x, lengths, words = describe(text)
+        return chain(self.potentials(x, words), self.join)[0], lengths
 
     def score(self, text: str | None) -> float:
         a, b = self.curve
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a * self.raw(*describe(text)) + b))))
+        good, lengths = self.marginals(text)
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a * float(good @ lengths / lengths.sum()) + b))))
 
 
 def chain(potential: np.ndarray, join: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -125,32 +189,66 @@ def chain(potential: np.ndarray, join: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array(good), pairs, z
 
 
-def fit_field(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 60, decay: float = 1e-3) -> Field:
-    """docs: (features, lengths, label).  Adam on the likelihood of the labels, each document counting once."""
-    share = sum(y for *_, y in docs) / len(docs) if docs else 0.5
+def chains(potential: np.ndarray, starts: np.ndarray, lens: np.ndarray, join: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """chain() of many documents at once: marginals of all lines, and each document's expected counts of neighbouring labels.
+
+    Lines stand one document after the other; documents are sorted by falling length, so those still going on are the first.
+    """
+    e, s = np.exp(join), np.exp(potential)
+    forward, scale = np.zeros((len(potential), 2)), np.zeros(len(potential))
+    going = [int((lens > k).sum()) for k in range(int(lens.max(initial=0)))]
+    for k, n in enumerate(going):
+        at = starts[:n] + k
+        a = np.stack([np.ones(n), s[at]], 1) if not k else (forward[at - 1] @ e) * np.stack([np.ones(n), s[at]], 1)
+        scale[at] = a.sum(1)
+        forward[at] = a / scale[at][:, None]
+    backward, pairs = np.ones((len(potential), 2)), np.zeros((len(lens), 2, 2))
+    for k in range(len(going) - 1, 0, -1):
+        at = starts[: going[k]] + k
+        q = backward[at] * np.stack([np.ones(len(at)), s[at]], 1) / scale[at][:, None]
+        pairs[: len(at)] += forward[at - 1][:, :, None] * e * q[:, None, :]
+        backward[at - 1] = q @ e.T
+    both = forward * backward
+    return both[:, 1] / both.sum(1), pairs
+
+
+def fit_field(docs: list[tuple[str | None, int]], rounds: int = 80, decay: float = 1e-3) -> Field:
+    """docs: (text, label).  Adam on the likelihood of the documents' labels, each document counting once."""
+    share = sum(y for _, y in docs) / len(docs) if docs else 0.5
     if not 0 < share < 1:
         p = min(0.999, max(0.001, share))
-        return Field(np.zeros(WIDTH), np.zeros((2, 2)), (0.0, math.log(p / (1 - p))))
-    theta = np.zeros(WIDTH + 4)
-    m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
-    rng = np.random.default_rng(5)
-    for r in range(rounds):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), 256):
-            grad = decay * theta
-            some = order[at : at + 256]
-            for k in some:
-                x, _, y = docs[k]
-                good, pairs, _ = chain(np.clip(x @ theta[:WIDTH], -30, 30), theta[WIDTH:].reshape(2, 2))
-                g = np.concatenate([(good - y) @ x, pairs.ravel()])
-                g[WIDTH + 3 * y] -= len(x) - 1
-                grad = grad + g / (len(x) * len(some))
-            step += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-            theta = theta - (0.1 / (1 + r / 10)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            theta[WIDTH:] = np.clip(theta[WIDTH:], -3, 3)
-    field = Field(theta[:WIDTH], theta[WIDTH:].reshape(2, 2), (1.0, 0.0))
-    raw, y = np.array([field.raw(x, n) for x, n, _ in docs]), np.array([y for *_, y in docs], float)
+        return Field(np.zeros(WIDTH), np.zeros(SPARSE), np.zeros((2, 2)), (0.0, math.log(p / (1 - p))))
+    shapes, buckets = _Memory(shape_of), _Memory(bucket_of)
+    known = sorted(((*describe(t), y) for t, y in docs), key=lambda d: -len(d[0]))
+    lens, y = np.array([len(d[0]) for d in known]), np.array([d[3] for d in known], float)
+    starts = np.cumsum(lens) - lens
+    x, lengths = np.vstack([d[0] for d in known]), np.concatenate([d[1] for d in known])
+    lines = [sparse_features(line, shapes, buckets) for d in known for line in d[2]]
+    del known
+    of = np.repeat(np.arange(len(lines), dtype=np.int32), [len(a) for a, _ in lines])
+    at, value = np.fromiter((k for a, _ in lines for k in a), np.int32, len(of)), np.fromiter((v for _, b in lines for v in b), float, len(of))
+    del lines
+    each = np.repeat(1 / (lens * len(lens)), lens)
+    evidence = np.repeat((2 * y - 1) * math.log(AGREE / (1 - AGREE)), lens)
+    theta = np.zeros(WIDTH + SPARSE + 4)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+
+    def potentials() -> np.ndarray:
+        more = np.bincount(of, theta[WIDTH : WIDTH + SPARSE][at] * value, len(x))
+        return np.clip(x @ theta[:WIDTH] + more, -30, 30)
+
+    for step in range(1, rounds + 1):
+        p, join = potentials(), theta[-4:].reshape(2, 2)
+        good, pairs = chains(p, starts, lens, join)
+        given, pairs_given = chains(p + evidence, starts, lens, join)
+        d = (good - given) * each
+        joined = ((pairs - pairs_given) / (lens * len(lens))[:, None, None]).sum(0)
+        grad = np.concatenate([d @ x, np.bincount(at, value * d[of], SPARSE), joined.ravel()]) + decay * theta * np.concatenate([np.full(WIDTH, 1.0), np.full(SPARSE, 0.1), np.full(4, 1.0)])
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        theta = theta - (0.2 / (1 + step / 20)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        theta[-4:] = np.clip(theta[-4:], -3, 3)
+    good, _ = chains(potentials(), starts, lens, theta[-4:].reshape(2, 2))
+    raw = np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts)
     a, b = 4.0, -2.0
     for _ in range(200):  # Newton's steps, with a prior that keeps the curve finite
         p = 1 / (1 + np.exp(-(a * raw + b)))
@@ -161,26 +259,15 @@ def fit_field(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 60,
         a, b = a - move[0], b - move[1]
         if np.abs(move).max() < 1e-8:
             break
-    return Field(field.w, field.join, (float(a), float(b)))
+    return Field(theta[:WIDTH], theta[WIDTH : WIDTH + SPARSE], theta[-4:].reshape(2, 2), (float(a), float(b)))
 
 
 def fit(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_CLASS) -> Field:
     """Learns from labels (doc_id, quality) of the ids that keep, an expression over doc_id, selects."""
     common.ready(documents.sparkSession)
-
-    @F.pandas_udf("lines int, x binary, n binary")
-    def described(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            x, n = describe(t)
-            some = np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_LINES)).round().astype(int))
-            out.append((len(some), x[some].astype("<f4").tobytes(), n[some].astype("<f4").tobytes()))
-        return pd.DataFrame(out, columns=["lines", "x", "n"])
-
-    rows = common.labelled_sample(documents, labels, "quality", keep, per_class).select("doc_id", "label", described("text").alias("d")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["d"]["x"])))
-    docs = [(np.frombuffer(r["d"]["x"], "<f4").reshape(-1, WIDTH).astype(float), np.frombuffer(r["d"]["n"], "<f4").astype(float), int(r["label"] > 0)) for r in rows]
-    return fit_field(docs)
+    rows = common.labelled_sample(documents, labels, "quality", keep, per_class, EXAMPLE_CHARS, SAMPLE_CHARS).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    return fit_field([(r["text"], int(r["label"])) for r in rows])
 
 
 def predict(documents: DataFrame, field: Field, *columns: Column | str) -> DataFrame:

@@ -1,25 +1,35 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words, and word beginnings of four and five letters, whose share among toxic examples differs
-clearly from that among clean ones (a likelihood ratio of CLEAR or more).  An example is a TF-IDF vector over the terms; the inverted index of
-the examples is cut into blocks of BLOCK examples, and each term has the largest weight of each block.
-A text's nearest examples are found exactly: blocks are visited in the order of their upper bounds until
-no other block can hold a nearer one.  The nearest K vote with weights that fall with the cosine
-distance; a logistic curve fitted on leave-one-out votes of the examples calibrates the share of toxic
-votes.  The nearest examples and the terms shared with them are the evidence.
-
-Examples are about ``per_class`` labelled documents of each label (chosen by the hashes of their ids) and
-at most MAX_TERMS terms; the index, bounded by both, is sent to every task.  Votes are weighted by how
-many labelled documents an example stands for.  Every text is read whole.
-
-Defined results: a null or empty text, and one without any term, gets the share of toxic documents among
-the examples without any term; without labels of both kinds every score is the smoothed share of toxic
-labels; an empty table gives no row; repeated rows are scored as often as they come; further columns are
-ignored.
+An example is a TF-IDF vector over all of its words, none left out: (1 + log tf) * idf * relevance, of unit
+length.  relevance is sqrt(1 + z * z), with z the deviations by which a word's share among toxic examples differs
+from that among clean ones, so that words that tell nothing still count as in plain TF-IDF (1 for every word,
+with ``relevance=False``).  A text's vector is over the words that the examples have.
+
+The inverted index has the examples in blocks of BLOCK, ordered by label and number of words.  A text's nearest K are found exactly:
+
+1. the lists of words that at most a SHARE of the examples have, and of the FIRST longer ones that can add most to
+   a cosine, are added up for all examples;
+2. for the other lists, the largest weight of each block bounds what they could add; the K best of
+   the examples with the highest sums so far, scored in full, set the line;
+3. only examples whose sum and bound reach the line are scored in full.
+
+The nearest K vote with weights that fall with the cosine distance; a logistic curve fitted on
+leave-one-out votes of the examples calibrates the share of toxic votes.  The nearest examples, and the words
+that add most to the cosine with the nearest one, are the evidence.
+
+Examples are about ``per_class`` labelled documents of each label of at most EXAMPLE_CHARS characters (chosen by the
+hashes of their ids), fewer where their characters exceed SAMPLE_CHARS; the index, bounded by them, is sent to
+every task.  Votes are weighted by how many labelled documents an example stands for.  Every text is read whole.
+
+Defined results: a null or empty text, and one without a word that an example has, gets the share of toxic
+documents among the examples without words; without labels of both kinds every score is the smoothed share of toxic
+labels; examples equally near are taken in the order of the index; an empty table gives no row; repeated rows
+are scored as often as they come; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -32,11 +42,13 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_CLASS = 3000
-MAX_TERMS = 4000
+EXAMPLE_CHARS, SAMPLE_CHARS = 200_000, 32 << 20
 K = 25
-BLOCK = 64
-#: Twice the log of the likelihood ratio of unequal against equal shares; chance exceeds it once in 130,000 terms.
-CLEAR = 20.0
+BLOCK = 16
+SHARE = 1 / 16
+FIRST = 24
+#: Words given as evidence.
+TOLD = 5
 _BETWEEN = bytes(k if k >= 128 or chr(k).isalpha() else 32 for k in range(256))
 _REMEMBERED = 100_000
 
@@ -46,114 +58,141 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BETWEEN).split()
 
 
-def terms_of(word: bytes) -> list[str]:
-    w = word.decode("utf-8", "replace")
-    return [w] + [w[:n] + "*" for n in (4, 5) if len(w) >= n]
-
-
 class Index:
-    """terms: term -> idf.  examples: (doc_id, label, weight, {term: tf}) in the order of doc_id."""
+    """examples: (doc_id, label, weight, {word: tf}), in the order of doc_id."""
 
-    def __init__(self, terms: dict[str, float], examples: list[tuple[int, int, float, dict[str, float]]], prior: float):
-        self.at = {t: k for k, t in enumerate(terms)}
-        self.idf = np.array(list(terms.values()), float)
-        self.begins = {t.rstrip("*").encode("utf-8", "surrogatepass")[:4] for t in terms}
+    def __init__(self, examples: list[tuple[int, int, float, dict[bytes, int]]], prior: float, relevance: bool = True):
         self.prior = prior
         full = [x for x in examples if x[3]]
-        self.doc_ids = [x[0] for x in full]
-        self.labels, self.weights = np.array([x[1] for x in full], float), np.array([x[2] for x in full], float)
         rest = [x for x in examples if not x[3]]
         self.bare = (sum(x[2] * x[1] for x in rest) + prior) / (sum(x[2] for x in rest) + 1)
-        self.blocks = -(-len(full) // BLOCK)
-        self.most = np.zeros((len(terms), self.blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for k, x in enumerate(full):
-            which, w = self.vector(x[3])
-            for t, v in zip(which, w, strict=True):
-                lists[t].append((k, v))
-                self.most[t, k // BLOCK] = max(self.most[t, k // BLOCK], v)
-        self.postings = [(np.array([k for k, _ in own], np.int64), np.array([v for _, v in own])) for own in lists]
+        self.at = {w: k for k, w in enumerate(dict.fromkeys(w for x in full for w in sorted(x[3])))}
+        lens = np.array([len(x[3]) for x in full], np.int64)
+        which = np.fromiter((self.at[w] for x in full for w in x[3]), np.int32, lens.sum())
+        tf = np.fromiter((n for x in full for n in x[3].values()), float, lens.sum())
+        labels = np.array([x[1] for x in full], float)
+        seen, toxic = np.bincount(which, minlength=len(self.at)), np.bincount(which, np.repeat(labels, lens), len(self.at))
+        n, n1 = len(full), labels.sum()
+        self.worth = np.log((n + 1) / (seen + 0.5))
+        if relevance and 0 < n1 < n:
+            p = seen / n
+            z = (toxic / n1 - (seen - toxic) / (n - n1)) / np.sqrt(np.maximum(1e-12, p * (1 - p) * (1 / n1 + 1 / (n - n1))))
+            self.worth = self.worth * np.sqrt(1 + z * z)
+        values = (1 + np.log(tf)) * self.worth[which]
+        row = np.repeat(np.arange(n), lens)
+        values = values / np.maximum(1e-300, np.sqrt(np.bincount(row, values * values, n)))[row]
+        # like examples beside each other: by label, then by the number of words, on which weights depend
+        order = np.lexsort((np.arange(n), lens, labels))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.doc_ids, self.labels, self.weights = [full[k][0] for k in order], labels[order], np.array([full[k][2] for k in order], float)
+        self.size = n
+        #: example -> its words and their weights
+        row = place[row]
+        own = np.lexsort((which, row))
+        self.words_of, self.weights_of, self.ends = which[own], values[own], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int64)
+        #: word -> its list of examples and their weights
+        own = np.lexsort((row, which))
+        self.list_of, self.list_weights, self.list_ends = row[own].astype(np.int32), values[own], np.concatenate([[0], np.cumsum(seen)]).astype(np.int64)
+        self.lens = np.diff(self.list_ends)
+        #: long lists as columns of a matrix with a row for each example, and the largest weight of each of their blocks
+        long = np.flatnonzero(seen > SHARE * n)
+        self.long_row = np.full(len(self.at), -1, np.int32)
+        self.long_row[long] = np.arange(len(long))
+        self.columns = np.zeros((n, len(long)))
+        for k, w in enumerate(long):
+            part = slice(self.list_ends[w], self.list_ends[w + 1])
+            self.columns[self.list_of[part], k] = self.list_weights[part]
+        starts = np.arange(0, n, BLOCK)
+        self.most = np.ascontiguousarray(np.maximum.reduceat(self.columns, starts, axis=0).T) if n and len(long) else np.zeros((len(long), len(starts)))
+        self.top = self.most.max(axis=1, initial=0.0)
         self.curve = (1.0, 0.0)
-        self.memory: dict = {}
-
-    def vector(self, tf: dict[str, float]) -> tuple[list[int], np.ndarray]:
-        which = sorted(self.at[t] for t in tf)
-        of = {self.at[t]: n for t, n in tf.items()}
-        w = np.array([(1 + math.log(of[t])) * self.idf[t] for t in which])
-        return which, w / np.linalg.norm(w)
-
-    def counts(self, text: str | None) -> dict[str, float]:
-        """How often each of the index's terms comes in a text."""
-        found: Counter = Counter()
-        words = words_of(text)
-        for w in set(words):
-            if w[:4] in self.begins:
-                own = [t for t in terms_of(w) if t in self.at]
-                if own:
-                    n = words.count(w)
-                    for t in own:
-                        found[t] += n
-        return found
-
-    def nearest(self, tf: dict[str, float], leave: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the K nearest examples that share a term, nearest first, ties by place.
-
-        Cosines are rounded to nine decimals, so that equal ones are ties.  Blocks are visited in the order
-        of their bounds, twice as many each time, until no block left can hold a nearer example.
+        self.memory: dict[bytes, tuple[float, list[int], list[str]]] = {}
+        #: examples that were compared, and those scored in full
+        self.compared = self.scored = 0
+
+    def vector(self, tf: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The words of a text that examples have, and their weights."""
+        found = [(self.at[w], n) for w, n in tf.items() if w in self.at]
+        which = np.array([k for k, _ in found], np.int64)
+        w = (1 + np.log(np.array([n for _, n in found], float))) * self.worth[which] if found else np.zeros(0)
+        order = np.argsort(which)
+        length = math.sqrt(float(w @ w))
+        return which[order], w[order] / (length or 1.0)
+
+    def nearest(self, which: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the K nearest examples that share a word, nearest first, ties by place.
+
+        Cosines are rounded to nine decimals, so that equal ones are ties.
         """
-        which, w = self.vector(tf)
-        bound = np.round(w @ self.most[which], 9)
-        left, first, visit = bound > 0, np.arange(self.blocks) * BLOCK, 4
-        ids, cosines = np.zeros(0, np.int64), np.zeros(0)
-        while left.any():
-            some = np.flatnonzero(left)
-            now = np.zeros(self.blocks, bool)
-            now[some[np.lexsort((some, -bound[some]))[:visit]]] = True
-            score = np.zeros(self.blocks * BLOCK)
-            for t, v in zip(which, w, strict=True):
-                own, weights = self.postings[t]
-                here = now[own // BLOCK]
-                score[own[here]] += v * weights[here]
-            score = np.round(score, 9)
-            new = np.flatnonzero(score)
-            new = new[new != leave]
-            ids, cosines = np.concatenate([ids, new]), np.concatenate([cosines, score[new]])
-            best = np.lexsort((ids, -cosines))[:K]
-            ids, cosines = ids[best], cosines[best]
-            left &= ~now
-            if len(ids) == K:
-                left &= (bound > cosines[-1]) | (bound == cosines[-1]) & (first < ids[-1])
-            visit *= 2
-        return list(zip(cosines.tolist(), ids.tolist(), strict=True))
-
-    def vote(self, best: list[tuple[float, int]]) -> float:
-        own = [k for _, k in best]
-        w = self.weights[own] / (1.05 - np.array([s for s, _ in best]))
-        return float((w @ self.labels[own] + self.prior) / (w.sum() + 1))
-
-    def score(self, text: str | None, leave: int = -1) -> tuple[float, list[int], list[str]]:
-        """Score, ids of the three nearest examples, the text's terms."""
-        tf = self.counts(text)
-        if not tf:
-            return self.bare, [], []
-        key = tuple(sorted(tf.items()))
+        row = self.long_row[which]
+        rest = np.flatnonzero(row >= 0)
+        if len(rest) > FIRST:
+            rest = rest[np.argpartition(w[rest] * self.top[row[rest]], -FIRST)[:-FIRST]]
+        else:
+            rest = rest[:0]
+        added = np.ones(len(which), bool)
+        added[rest] = False
+        at, lens = self.list_ends[which[added]], self.lens[which[added]]
+        ends = np.cumsum(lens)
+        every = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - lens), lens)
+        known = np.bincount(self.list_of[every], self.list_weights[every] * np.repeat(w[added], lens), self.size)
+        rows, heavy = row[rest], w[rest]
+        upper = known + np.repeat(heavy @ self.most[rows], BLOCK)[: self.size]
+        if leave >= 0:
+            known[leave], upper[leave] = -1.0, -1.0
+        some = np.argpartition(known, -2 * K)[-2 * K :] if self.size > 2 * K else np.arange(self.size)
+        first = known[some] + heavy @ self.columns[some][:, rows].T
+        line = np.partition(first, -K)[-K] if len(first) > K else -1.0
+        some = np.flatnonzero((upper > 0) & (upper >= line - 1e-9))
+        self.compared += self.size
+        self.scored += len(some)
+        cosines = np.round(known[some] + heavy @ self.columns[some][:, rows].T, 9)
+        best = np.lexsort((some, -cosines))[:K]
+        best = best[cosines[best] > 0]
+        return cosines[best], some[best]
+
+    def vote(self, cosines: np.ndarray, best: np.ndarray) -> float:
+        w = self.weights[best] / (1.05 - cosines)
+        return float((w @ self.labels[best] + self.prior) / (w.sum() + 1))
+
+    def evidence(self, which: np.ndarray, w: np.ndarray, example: int) -> list[int]:
+        """The words that add most to the cosine with an example."""
+        part = slice(self.ends[example], self.ends[example + 1])
+        both, mine, other = np.intersect1d(which, self.words_of[part], assume_unique=True, return_indices=True)
+        return both[np.argsort(-w[mine] * self.weights_of[part][other], kind="stable")[:TOLD]].tolist()
+
+    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        """Score, ids of the three nearest examples, evidence."""
+        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in self.memory:
             if len(self.memory) > _REMEMBERED:
                 self.memory.clear()
-            best = self.nearest(tf)
-            p = self.vote(best) if best else self.bare
-            a, b = self.curve
-            self.memory[key] = (_sigmoid(a * _logit(p) + b), [self.doc_ids[k] for _, k in best[:3]], sorted(tf))
+            self.memory[key] = self._score(text)
         return self.memory[key]
 
-    def calibrate(self, examples: list[tuple[int, int, float, dict[str, float]]]) -> None:
-        full = [x for x in examples if x[3]]
-        if not full:
+    def _score(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        which, w = self.vector(Counter(words_of(text)))
+        cosines, best = self.nearest(which, w) if len(which) else (np.zeros(0), np.zeros(0, np.int64))
+        if not len(best):
+            return self.bare, [], []
+        a, b = self.curve
+        p = _sigmoid(a * _logit(self.vote(cosines, best)) + b)
+        return p, [self.doc_ids[k] for k in best[:3]], [self.named(k) for k in self.evidence(which, w, int(best[0]))]
+
+    def named(self, word: int) -> str:
+        if not hasattr(self, "names"):
+            self.names = list(self.at)
+        return self.names[word].decode("utf-8", "replace")
+
+    def calibrate(self) -> None:
+        if not self.size:
             return
         votes = []
-        for k, x in enumerate(full):
-            best = self.nearest(x[3], leave=k)
-            votes.append(_logit(self.vote(best) if best else self.bare))
+        for k in range(self.size):
+            part = slice(self.ends[k], self.ends[k + 1])
+            cosines, best = self.nearest(self.words_of[part].astype(np.int64), self.weights_of[part], leave=k)
+            votes.append(_logit(self.vote(cosines, best) if len(best) else self.bare))
         x, y, n = np.array(votes), self.labels, self.weights / self.weights.mean()
         a, b = 1.0, 0.0
         for _ in range(100):  # Newton's steps, with a prior around the votes as they are
@@ -177,49 +216,25 @@ def _sigmoid(v: float) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, v))))
 
 
-def fit(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_CLASS, max_terms: int = MAX_TERMS) -> Index:
+def fit(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_CLASS, relevance: bool = True) -> Index:
     """The index of examples from labels (doc_id, toxic) of the ids that keep, an expression over doc_id, selects."""
-    spark = documents.sparkSession
-    common.ready(spark)
-    known = {int(r["label"] > 0): r["count"] for r in common.once_per_id(labels, "toxic").where(keep).groupBy("label").count().collect()}
-    chosen = common.labelled_sample(documents, labels, "toxic", keep, per_class).select("doc_id", "text", F.least(F.col("label"), F.lit(1)).alias("label"))
-
-    def df(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: Counter = Counter()
-            for text, y in zip(batch["text"], batch["label"], strict=True):
-                found.update((t, int(y)) for t in {t for w in set(words_of(text)) for t in terms_of(w)} | {""})
-            yield pd.DataFrame([(t, n if y else 0, 0 if y else n) for (t, y), n in found.items()], columns=["term", "toxic", "clean"])
-
-    per = chosen.mapInPandas(df, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c"))
-    size = per.where("term = ''").first()
-    n1, n0 = (size["a"], size["c"]) if size else (0, 0)
+    common.ready(documents.sparkSession)
+    known = {r["label"]: r["count"] for r in common.once_per_id(labels, "toxic").where(keep).groupBy(F.least(F.col("label"), F.lit(1)).alias("label")).count().collect()}
     prior = (known.get(1, 0) + 0.5) / (sum(known.values()) + 1)
-    both = (F.col("a") + F.col("c")) / max(1, n1 + n0)
-
-    def surplus(seen: Column, share: Column, n: int) -> Column:
-        """Of the seen and the others among n examples, against what the common share expects."""
-        part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-        return part(seen, share * n) + part(n - seen, (1 - share) * n)
-
-    ratio = 2 * (surplus(F.col("a"), both, n1) + surplus(F.col("c"), both, n0))
-    clear = per.where("term <> '' and a + c >= 3").withColumn("z", ratio).where(F.col("z") >= CLEAR).orderBy(F.desc("z"), "term").limit(max_terms)
-    rows = clear.collect() if n1 and n0 else []
-    idf = {r["term"]: math.log((n1 + n0 + 1) / (r["a"] + r["c"] + 0.5)) for r in rows}
-    bare = Index(idf, [], prior)
-
-    @F.pandas_udf("map<string,double>")
-    def counted(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: dict(bare.counts(t)))
-
-    found = chosen.select("doc_id", "label", counted("text").alias("tf")).collect() if idf else []
-    of = {y: sum(r["label"] == y for r in found) for y in (0, 1)}
-    examples = [(r["doc_id"], r["label"], known[r["label"]] / of[r["label"]], r["tf"] or {}) for r in found]
+    chosen = common.labelled_sample(documents, labels, "toxic", keep, per_class, EXAMPLE_CHARS, SAMPLE_CHARS)
+
+    @F.pandas_udf("words array<binary>, counts array<int>")
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        every = [Counter(words_of(t)) for t in texts]
+        return pd.DataFrame({"words": [list(x) for x in every], "counts": [list(x.values()) for x in every]})
+
+    found = chosen.select("doc_id", "label", counted("text").alias("tf")).collect() if len(known) == 2 else []
+    of = Counter(r["label"] for r in found)
+    examples = [(r["doc_id"], r["label"], known[r["label"]] / of[r["label"]], dict(zip(map(bytes, r["tf"]["words"]), r["tf"]["counts"], strict=True))) for r in found]
     examples.sort(key=lambda x: (x[0], sorted(x[3].items())))
     least = min((x[2] for x in examples), default=1.0)
-    examples = [(i, y, w / least, tf) for i, y, w, tf in examples]
-    index = Index(idf, examples, prior)
-    index.calibrate(examples)
+    index = Index([(i, y, w / least, tf) for i, y, w, tf in examples], prior, relevance)
+    index.calibrate()
     return index
 
 
