@@ -6,10 +6,15 @@ An event is (conv_id, seq, op, role, text, target):
     delta       adds text to a message: the one with seq = target, else the last one started
     edit        replaces a message's text; deltas that follow are added to the new text
     regenerate  withdraws the message with seq = target and all that were started since (without a
-                target: the last one), and starts a message with the role given, else that of the target
+                target: the last one), and starts a message with the role given, else that of the target, which
+                may have it from its own target
 
-Events of a conversation are folded in the order of seq; ties go by op, role and text.  Every message is
-rendered into a row of its own, so a conversation of any length needs memory for one message only.
+Events of a conversation are folded in the order of seq; ties go by op, role and text.  The log is sorted once,
+dealt out by ranges, so that the parts of a long conversation lie in several tasks, and written.  What events refer to
+and what is withdrawn is decided without their texts, by running sums over each part and over the parts; texts
+join what is left of them.  A message's text is its last whole text (of its start or of an edit) and the deltas
+after it, put together at once.  Every message is rendered into a row of its own, so a conversation of any length
+needs memory for one message only.
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -39,39 +44,68 @@ _MESSAGE = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + r"
 _ESCAPED = re.compile(r"<(\\*)\\\|")
 
 
+_KEYS = ["seq", "op", "role", "text"]
+
+
+def _scan(rows: DataFrame, value: Column, least: bool, later: bool, name: str) -> DataFrame:
+    """rows with the least or largest value of the rows before them in their conversation, or after them.
+
+    It is taken within a part of the conversation, and over whole parts; frames only grow, in either direction.
+    """
+    fold_, pick = (F.min, F.least) if least else (F.max, F.greatest)
+    way = (lambda c: F.col(c).desc()) if later else F.col
+    before = lambda keys, by: Window.partitionBy(*keys).orderBy(way(by)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__v", value)
+    parts = rows.groupBy("conv", "part").agg(fold_("__v").alias("__p"))
+    parts = parts.withColumn("__carried", fold_("__p").over(before(["conv"], "part"))).drop("__p")
+    rows = rows.withColumn("__own", fold_("__v").over(before(["conv", "part"], "n"))).join(parts, ["conv", "part"])
+    return rows.withColumn(name, pick("__own", "__carried")).drop("__v", "__own", "__carried")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """conv_id, n (order), role, text of the final messages."""
-    e = events.select(
-        "conv_id", "seq", F.coalesce("op", F.lit("message")).alias("op"), "role", F.coalesce("text", F.lit("")).alias("text"), "target"
-    )
-    order = Window.partitionBy("conv_id").orderBy("seq", "op", "role", "text")
-    e = e.withColumn("n", F.row_number().over(order))
+    e = events.select("conv_id", "seq", F.coalesce("op", F.lit("message")).alias("op"), "role", F.coalesce("text", F.lit("")).alias("text"), "target")
+    # a last key, so that repeated rows can be dealt out; n is the place in the whole order, its high bits are the part
+    e = e.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))).withColumn("tie", F.monotonically_increasing_id())
+    by = ["conv", F.col("conv_id").isNull(), *_KEYS, "tie"]
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = e.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("tie").withColumn("n", F.monotonically_increasing_id())
+    placed = common.materialize(placed, "log")
     starts = F.col("op").isin("message", "regenerate")
-    last = F.last(F.when(starts, F.col("n")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("previous", last)
-    aimed = e.where("target is not null").select("conv_id", "n", "target")
-    known = e.where(starts).select(F.col("conv_id").alias("c"), F.col("seq").alias("s"), F.col("n").alias("m"))
-    found = (
-        aimed.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("target") == F.col("s")) & (F.col("m") < F.col("n")))
-        .groupBy(F.col("conv_id").alias("c"), F.col("n").alias("at"))
-        .agg(F.max("m").alias("aim"))
-    )
-    e = e.join(found, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("n") == F.col("at")), "left").drop("c", "at")
-    e = e.withColumn("aim", F.when(F.col("target").isNull(), F.col("previous")).otherwise(F.col("aim")))
-    later = Window.partitionBy("conv_id").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    e = e.withColumn("withdrawn", F.coalesce(F.min(F.when(F.col("op") == "regenerate", F.col("aim"))).over(later) <= F.col("n"), F.lit(False)))
-    e = e.withColumn("message", F.when(starts, F.col("n")).otherwise(F.col("aim"))).where("message is not null")
-    each = e.groupBy("conv_id", "message").agg(
+    slim = placed.select("conv", "n", F.shiftright("n", 33).alias("part"), "seq", "op", "role", "target")
+    slim = _scan(slim, F.when(starts, F.col("n")), False, False, "previous")
+    # the last message before an event whose seq is the event's target
+    asked = slim.where("target is not null").select("conv", "n", F.col("target").alias("value"), F.lit(None).cast("long").alias("m"))
+    there = slim.where(starts & F.col("seq").isNotNull()).select("conv", "n", F.col("seq").alias("value"), F.col("n").alias("m"))
+    upto = Window.partitionBy("conv", "value").orderBy("n", F.col("m").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    found = asked.unionByName(there).withColumn("found", F.max("m").over(upto)).where("m is null and found is not null").select("conv", "n", "found")
+    slim = slim.join(found, ["conv", "n"], "left").withColumn("aim", F.when(F.col("target").isNull(), F.col("previous")).otherwise(F.col("found")))
+    slim = _scan(slim, F.when(F.col("op") == "regenerate", F.col("aim")), True, True, "back_to")
+    slim = slim.withColumn("message", F.when(starts, F.col("n")).otherwise(F.col("aim"))).where("message is not null")
+    slim = common.materialize(slim.select("conv", "n", "op", "role", "aim", "message", (starts & (F.coalesce("back_to", F.lit(1 << 62)) > F.col("n"))).alias("alive")), "decided")
+    each = slim.groupBy("conv", "message").agg(
+        F.max("alive").alias("alive"),
         F.max(F.when(starts, F.col("role"))).alias("role"),
         F.max(F.when((F.col("op") == "regenerate") & F.col("role").isNull(), F.col("aim"))).alias("as"),
-        F.max(F.when(starts, F.col("withdrawn"))).alias("withdrawn"),
-        F.array_sort(F.collect_list(F.struct("n", "op", "text"))).alias("log"),
+        F.max(F.when(F.col("op") != "delta", F.col("n"))).alias("whole"),
+    )
+    each = _inherited(common.materialize(each, "messages"))
+    kept = slim.select("conv", "n", "message").join(each.where("alive").select("conv", "message", "role", "whole"), ["conv", "message"]).where("n >= whole")
+    texts = placed.select("n", "conv_id", "text").join(kept.select("n", "message", "role"), "n")
+    log = F.array_sort(F.collect_list(F.struct("n", "text")))
+    return texts.groupBy("conv_id", "message", "role").agg(F.array_join(F.transform(log, lambda x: x["text"]), "").alias("text")).select(
+        "conv_id", F.col("message").alias("n"), F.coalesce("role", F.lit("")).alias("role"), "text"
     )
-    text = F.aggregate("log", F.lit(""), lambda acc, x: F.when(x["op"] == "delta", F.concat(acc, x["text"])).otherwise(x["text"]))
-    each = each.withColumn("text", text)
-    of = each.where("role is not null").select(F.col("conv_id").alias("c"), F.col("message").alias("m"), F.col("role").alias("given"))
-    each = each.join(of, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("as") == F.col("m")), "left")
-    return each.where("not withdrawn").select("conv_id", F.col("message").alias("n"), F.coalesce("role", "given", F.lit("")).alias("role"), "text")
+
+
+def _inherited(each: DataFrame) -> DataFrame:
+    """Messages with the roles that regenerations have from what they replaced, along chains of them, which halve in each round."""
+    open_ = F.col("role").isNull() & F.col("as").isNotNull()
+    while each.where(open_).limit(1).count():
+        of = each.select("conv", F.col("message").alias("as"), F.col("role").alias("__role"), F.col("as").alias("__as"))
+        asked = each.where(open_).drop("role").join(of, ["conv", "as"], "left").withColumn("as", F.col("__as")).withColumnRenamed("__role", "role").drop("__as")
+        each = common.materialize(each.where(~open_).unionByName(asked), "messages")
+    return each
 
 
 def escape(text: Column) -> Column:
