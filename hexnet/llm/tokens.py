@@ -3,8 +3,9 @@
 A tokenizer of the ``tokenizers`` library cuts a text into pre-tokens and encodes each of them on its
 own.  With the two kinds of pre-tokenization in ``_KINDS`` a space or a line feed between two other
 characters always ends a pre-token, so a text can be encoded word by word, and words that came before need not be
-encoded again.  Words of ASCII letters are encoded many at a time, as each is one pre-token; a comma or a full stop
-after one is another.  Any other word is encoded by itself.  Texts with any other white space, with
+encoded again.  Words are encoded many at a time: the ids of each are told apart by the mark of a space in
+its first token, or by the places that tokens come from; words of ASCII letters by the mark at their end, as each is one
+pre-token, and a comma or a full stop after one is another.  Texts with any other white space, with
 control characters or with special tokens are handed to the tokenizer whole, and so is every text if
 the tokenizer is of another kind.
 """
@@ -70,20 +71,30 @@ class WordEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> None:
-        """Words of ASCII letters, each with a space before it; many of them are encoded as one text."""
+        """Words of ASCII letters, each with a space before it; many of them are encoded as one text.  Where tokens mark the
+        space, any words."""
         for at in range(0, len(words), _WORDS_AT_ONCE):
             some = words[at : at + _WORDS_AT_ONCE]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.mark[ids])
             if len(cut) != len(some):
-                raise ValueError("a word of letters isn't one pre-token")
-            ends = (np.append(cut[1:], len(ids)) if not self.ends_words else cut + 1) * 4
-            all_bytes, ends = ids.tobytes(), ends.tolist()
-            starts = [0, *ends[:-1]]
-            self.memory.update(zip(some, map(all_bytes.__getitem__, map(slice, starts, ends)), strict=True))
+                raise ValueError("a word doesn't have one mark")
+            self._keep(some, ids, np.append(cut[1:], len(ids)) if not self.ends_words else cut + 1)
+
+    def _placed(self, words: list[str]) -> None:
+        """Words with a space before each, told apart by the places that their tokens come from."""
+        for at in range(0, len(words), _WORDS_AT_ONCE):
+            some = words[at : at + _WORDS_AT_ONCE]
+            found = self.tokenizer.encode_batch(["".join(some)], add_special_tokens=False)[0]
+            until = np.array([b for _, b in found.offsets], np.int64)
+            self._keep(some, np.array(found.ids, dtype="<u4"), np.searchsorted(until, np.cumsum([len(w) for w in some]), "right"))
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        self.memory.update(zip(words, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def _learn(self, new: set[str]) -> None:
-        letters, odd, joined = set(), [], []
+        letters, spaced, odd, joined = set(), [], [], []
         for w in new:
             plain = w[:1] == " " and w.isascii()
             if plain and w[1:].isalpha():
@@ -92,10 +103,13 @@ class WordEncoder:
                 joined.append(w)
                 if w[:-1] not in self.memory:
                     letters.add(w[:-1])
+            elif w[:1] == " ":
+                spaced.append(w)
             else:
                 odd.append(w)
         odd += [x for x in ".," if joined and x not in self.memory]
         self._letters(list(letters))
+        self._placed(spaced) if self.ends_words else self._letters(spaced)
         self.memory.update(zip(odd, self._whole(odd), strict=True))
         for w in joined:
             self.memory[w] = self.memory[w[:-1]] + self.memory[w[-1]]
