@@ -29,8 +29,8 @@ from ..functions.weights import SCALAR, Profile
 from ..plans.store import Rounds, ship
 from . import graph as g
 
-#: About 40 bytes an edge in each Python worker.
-MAX_LOCAL_EDGES = 5_000_000
+#: About 200 bytes an edge in each Python worker.
+MAX_LOCAL_EDGES = 1_000_000
 LABEL = "origin long, node long, td double, pref double, len_m double, hops int, path array<long>"
 
 
@@ -68,6 +68,16 @@ class _Arrays:
         self.starts = np.searchsorted(src, np.arange(len(self.cells) + 1))
         self.dst = np.searchsorted(self.cells, pdf["dst"].to_numpy())
         self.td, self.pref, self.len_m, self.edge = (pdf[c].to_numpy() for c in ("td", "pref", "len_m", "edge"))
+        self.lists = None
+
+    def steps(self, profile: Profile) -> tuple:
+        """As plain lists, which are faster one by one: cells, source and edge id of each edge, and of each cell the edges that leave it."""
+        if self.lists is None:
+            src = np.repeat(np.arange(len(self.cells)), np.diff(self.starts)).tolist()
+            each = list(zip(self.dst.tolist(), self.td.tolist(), self.pref.tolist(), self.len_m.tolist(), range(len(self.dst)), strict=True))
+            starts = self.starts.tolist()
+            self.lists = self.cells.tolist(), src, self.edge.tolist(), [each[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+        return self.lists
 
     def search(self, origin: int, profile: Profile, limit: float | None, targets: set[int] | None, k: int | None) -> list[tuple]:
         """(cell, td, pref, len_m, hops, path of edges) of settled cells; of targets only if they are given."""
@@ -75,41 +85,47 @@ class _Arrays:
         zero = profile.zero
         if at == len(self.cells) or self.cells[at] != origin:
             return [(origin, *zero, 0.0, 0, [])] if targets is None else []
+        cells, sources, names, leaving = self.steps(profile)
+        add, key_of, plain = profile.add, profile.key, profile is SCALAR or profile == SCALAR
         best: dict[int, tuple] = {at: (profile.key(*zero), 0, -1)}
         state = {at: (*zero, 0.0, -1)}
         done: set[int] = set()
         heap, out, left = [(profile.key(*zero), 0, -1, at)], [], k
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            key, hops, prev, here = heapq.heappop(heap)
+            key, hops, prev, here = pop(heap)
             if here in done or (key, hops, prev) != best[here]:
                 continue
             done.add(here)
             td, pref, length, _ = state[here]
-            cell = int(self.cells[here])
+            cell = cells[here]
             if targets is None or cell in targets:
                 path, x = [], here
                 while state[x][3] >= 0:
                     e = state[x][3]
-                    path.append(int(self.edge[e]))
-                    x = int(np.searchsorted(self.starts, e, "right")) - 1
+                    path.append(names[e])
+                    x = sources[e]
                 out.append((cell, td, pref, length, hops, path[::-1]))
                 if left is not None:
                     left -= 1
                     if left <= 0:
                         break
-            for e in range(self.starts[here], self.starts[here + 1]):
-                to = int(self.dst[e])
+            hops += 1
+            for to, t, p, n, e in leaving[here]:
                 if to in done:
                     continue
-                t, p = profile.add((float(self.td[e]), float(self.pref[e])), (td, pref))
-                new = profile.key(t, p)
+                if not plain or pref or p:
+                    t, p = add((t, p), (td, pref))
+                else:
+                    t = td + t
+                new = key_of(t, p)
                 if limit is not None and new[0] > limit:
                     continue
-                label = (new, hops + 1, cell)
-                if to not in best or label < best[to]:
-                    best[to] = label
-                    state[to] = (t, p, length + float(self.len_m[e]), e)
-                    heapq.heappush(heap, (*label, to))
+                old = best.get(to)
+                if old is None or new < old[0] or new == old[0] and (hops, cell) < old[1:]:
+                    label = best[to] = (new, hops, cell)
+                    state[to] = (t, p, length + n, e)
+                    push(heap, (*label, to))
         return out
 
 
@@ -119,7 +135,10 @@ def _local(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float
     arrays = sc.broadcast(_Arrays(edges))
     wanted = None
     if targets is not None:
-        wanted = sc.broadcast({r[0] for r in targets.select("cell").distinct().limit(2 * MAX_LOCAL_EDGES + 1).collect()})
+        cells = targets.select("cell").distinct()
+        found = cells.join(g.nodes(edges), "cell", "left_semi").union(cells.join(origins.select("cell"), "cell", "left_semi")).distinct()
+        # cells of a network of at most MAX_LOCAL_EDGES edges, or origins
+        wanted = sc.broadcast({r[0] for r in found.collect()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

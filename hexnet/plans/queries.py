@@ -32,7 +32,9 @@ def query(sql: str | None = None):
 
 
 def _cells(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").where(where).select(F.col("c_custkey").alias("cell"))
+    """Customers as cells, selected by what the tables say about them."""
+    networks.views(spark, sf_dir, "customer", "nation", "supplier")
+    return spark.sql(f"select c_custkey cell from customer where {where}")
 
 
 # ---------------------------------------------------------------- networks
@@ -64,10 +66,10 @@ def graph_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.reverse(networks.lattice(spark, sf_dir)).select("src", "dst", "td", "pref")
 
 
-@query(f"select edge, td from {L} e where edge % 7 = 0")
+@query(f"select edge, td from {L} e where td < 20")
 def graph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = networks.lattice(spark, sf_dir)
-    return g.lookup(edges, edges.where("edge % 7 = 0")).select("edge", "td")
+    return g.lookup(edges, edges.where("td < 20")).select("edge", "td")
 
 
 @query(f"select edge, src, dst from {L} e where src in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
@@ -135,9 +137,9 @@ def edges_non_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.non_overlapping(contract.contract(networks.lattice(spark, sf_dir), 3)).select("edge")
 
 
-@query(f"select edge, td from {L} e where src % 11 <> 3 and dst % 11 <> 3")
+@query(f"select edge, td from {L} e where src not in (select c_custkey from customer where c_acctbal < 0) and dst not in (select c_custkey from customer where c_acctbal < 0)")
 def exclude_cells_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.exclude(networks.lattice(spark, sf_dir), _cells(spark, sf_dir, "c_custkey % 11 = 3")).select("edge", "td")
+    return g.exclude(networks.lattice(spark, sf_dir), _cells(spark, sf_dir, "c_acctbal < 0")).select("edge", "td")
 
 
 @query(f"select edge, td * 0.8 * pref as cost from {L} e")
@@ -146,12 +148,12 @@ def reweight_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.reweight(networks.lattice(spark, sf_dir), lambda t, p: mode.key_column(t, p)["k1"]).select("edge", "cost")
 
 
-@query("""with w as (select o_custkey way, c pos, o_custkey + (c * (o_orderkey % 3 + 1)) % 7 cell from orders cross join (select unnest(range(6)) c) r where o_orderkey % 40 = 0),
+@query("""with w as (select o_custkey way, c pos, o_custkey + (c * (o_orderkey % 3 + 1)) % 7 cell from orders cross join (select unnest(range(6)) c) r),
  m as (select *, lag(cell) over (partition by way order by pos) p from (select way, pos, min(cell) cell from w group by way, pos) t),
  s as (select way, pos, cell src, lead(cell) over (partition by way order by pos) dst from m where p is null or p <> cell)
  select way, pos, src, dst from s where dst is not null""")
 def cells_to_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 40 = 0")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     ways = orders.select(F.col("o_custkey").alias("way"), "o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("pos"))
     ways = ways.groupBy("way", "pos").agg(F.min(F.col("way") + (F.col("pos") * (F.col("o_orderkey") % 3 + 1)) % 7).alias("cell"))
     return g.cells_to_edges(ways)
@@ -170,7 +172,7 @@ def export_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- reachable cells
 
-ORIGINS = "c_custkey % 100 = 1"
+ORIGINS = "c_mktsegment = 'FURNITURE'"
 
 
 def _reach(limit: int, origins: str) -> str:
@@ -217,7 +219,8 @@ def within_threshold_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- shortest paths
 
-STARTS, ENDS = "c_custkey % 211 = 5", "c_custkey % 97 = 4"
+#: From the customers of a nation to all suppliers.
+STARTS, ENDS = "c_nationkey in (select n_nationkey from nation where n_name = 'NATION_6')", "c_custkey in (select s_suppkey from supplier)"
 
 
 def _paths_sql(net: str = L, starts: str = STARTS, ends: str = ENDS, seed: str = "0", weight: str = "l.td", where: str = "true") -> str:
@@ -254,11 +257,11 @@ def sp_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir, k=1, ends=STARTS).select("origin", "destination", "td", "hops")
 
 
-@query(_paths_sql(starts="c_custkey % 9 = 0", ends="c_custkey = 4") + f" select c_custkey cell from customer where c_custkey % 9 = 0 and c_custkey in (select src from {L} e) and c_custkey not in (select origin from r)")
+@query(_paths_sql(starts=ORIGINS, ends="c_custkey = 4") + f" select c_custkey cell from customer where {ORIGINS} and c_custkey in (select src from {L} e) and c_custkey not in (select origin from r)")
 def sp_unreached_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _paths(spark, sf_dir, starts="c_custkey % 9 = 0", ends="c_custkey = 4").select(F.col("origin").alias("cell"))
+    found = _paths(spark, sf_dir, starts=ORIGINS, ends="c_custkey = 4").select(F.col("origin").alias("cell"))
     edges = networks.lattice(spark, sf_dir)
-    return enrich.outside(edges.where("src % 9 = 0").select(F.col("src").alias("cell")).distinct(), found)
+    return enrich.outside(enrich.members(_cells(spark, sf_dir, ORIGINS), edges, "src"), found)
 
 
 @query(_paths_sql() + " select origin, destination, td from r")
@@ -293,9 +296,9 @@ def _near_sql(cells: str, gap: int) -> str:
   from (select * from customer where {cells}) c cross join nd) t where k <= {gap})"""
 
 
-@query("with " + _near_sql("c_custkey % 13 = 2", 2) + " select cell, node, k, o is_origin, d is_destination from nn where n = 1")
+@query("with " + _near_sql("true", 2) + " select cell, node, k, o is_origin, d is_destination from nn where n = 1")
 def nearest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = routing.nearest_nodes(networks.lattice(spark, sf_dir), _cells(spark, sf_dir, "c_custkey % 13 = 2"), LATTICE, 2)
+    out = routing.nearest_nodes(networks.lattice(spark, sf_dir), _cells(spark, sf_dir, "true"), LATTICE, 2)
     return out.withColumn("k", F.col("k").cast("long"))
 
 
@@ -328,9 +331,9 @@ def path_edges_len(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- closing cells
 
-CLOSED = "c_custkey % 17 = 3"
+CLOSED = "c_acctbal < -500"
 _BEFORE = _paths_sql(starts=f"{STARTS} and not ({CLOSED})").replace("with recursive ", "").replace("l as", "l1 as").replace(" l on l.", " l1 l on l.").replace("from l)", "from l1)").replace("w(", "w1(").replace("w k", "w1 k").replace("from w ", "from w1 w ").replace("r as (", "b as (")
-_AFTER = _paths_sql(starts=f"{STARTS} and not ({CLOSED})", where="src % 17 <> 3 and dst % 17 <> 3").replace("with recursive ", "").replace("l as", "l2 as").replace(" l on l.", " l2 l on l.").replace("from l)", "from l2)").replace("w(", "w2(").replace("w k", "w2 k").replace("from w ", "from w2 w ").replace("r as (", "a as (")
+_AFTER = _paths_sql(starts=f"{STARTS} and not ({CLOSED})", where=f"src not in (select c_custkey from customer where {CLOSED}) and dst not in (select c_custkey from customer where {CLOSED})").replace("with recursive ", "").replace("l as", "l2 as").replace(" l on l.", " l2 l on l.").replace("from l)", "from l2)").replace("w(", "w2(").replace("w k", "w2 k").replace("from w ", "from w2 w ").replace("r as (", "a as (")
 _DIFF = f"with recursive {_BEFORE},\n{_AFTER}"
 
 
@@ -365,16 +368,16 @@ def diff_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diff_prerouted_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     coarse = g.downsample_lattice(networks.lattice(spark, sf_dir), LATTICE)
-    return differential.preroute(coarse, _cells(spark, sf_dir, "c_custkey % 170 = 3"), _cells(spark, sf_dir, STARTS), _cells(spark, sf_dir, ENDS), Lattice(networks.WIDTH, 500.0), routing.Options(), SCALAR)
+    return differential.preroute(coarse, _cells(spark, sf_dir, "c_acctbal < -950"), _cells(spark, sf_dir, STARTS), _cells(spark, sf_dir, ENDS), Lattice(networks.WIDTH, 500.0), routing.Options(), SCALAR)
 
 
 # ---------------------------------------------------------------- cells
 
 @query("""select c_custkey cell, cast((c_custkey % 32 + a) + (floor(c_custkey / 32.0) + b) * 32 as bigint) near, cast((abs(a) + abs(b) + abs(a + b)) / 2 as bigint) k
  from customer cross join (select unnest(range(-2, 3)) a) x cross join (select unnest(range(-2, 3)) b) y
- where abs(a + b) <= 2 and c_custkey % 32 + a between 0 and 31 and floor(c_custkey / 32.0) + b >= 0 and c_custkey % 50 = 0""")
+ where abs(a + b) <= 2 and c_custkey % 32 + a between 0 and 31 and floor(c_custkey / 32.0) + b >= 0""")
 def lattice_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LATTICE.disk(_cells(spark, sf_dir, "c_custkey % 50 = 0"), "cell", 2).withColumn("k", F.col("k").cast("long"))
+    return LATTICE.disk(_cells(spark, sf_dir, "true"), "cell", 2).withColumn("k", F.col("k").cast("long"))
 
 
 @query("""select c_custkey a, (c_custkey * 7) % 1000 b, cast((abs(c_custkey % 32 - (c_custkey * 7) % 1000 % 32) + abs(floor(c_custkey / 32.0) - floor((c_custkey * 7) % 1000 / 32.0))
@@ -433,9 +436,9 @@ def h3_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select c, (c & ~((cast(15 as bigint) << 52) | (cast(7 as bigint) << 27))) | (cast(6 as bigint) << 52) | (cast(x as bigint) << 27) child from {H3} h cross join (select unnest(range(7)) x) d
- where c_custkey % 20 = 0 and not ((c_custkey % 5 * 10 + 4) in (4, 14, 24) and {_FIRST} = 1) and not ((c_custkey % 5 * 10 + 4) in (4, 14, 24) and {_FIRST} = 0 and x = 1)""")
+ where not ((c_custkey % 5 * 10 + 4) in (4, 14, 24) and {_FIRST} = 1) and not ((c_custkey % 5 * 10 + 4) in (4, 14, 24) and {_FIRST} = 0 and x = 1)""")
 def h3_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _ids(spark, sf_dir).where("c_custkey % 20 = 0").where(bits.is_cell(F.col("c")))
+    ids = _ids(spark, sf_dir).where(bits.is_cell(F.col("c")))
     return bits.children(ids, "c", 6).select("c", "child")
 
 
@@ -510,10 +513,10 @@ def dataset_population_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.roll_up(customer, "cell", LATTICE.parent, "c_acctbal").withColumn("c_acctbal", F.round("c_acctbal", 4))
 
 
-@query("select coalesce(a.c_custkey, b.s_suppkey) cell, c_acctbal, s_acctbal from (select * from customer where c_custkey % 3 = 0) a full join (select * from supplier where s_suppkey % 2 = 0) b on a.c_custkey = b.s_suppkey")
+@query("select coalesce(a.c_custkey, b.s_suppkey) cell, c_acctbal, s_acctbal from (select * from customer where c_acctbal > 0) a full join (select * from supplier where s_acctbal > 0) b on a.c_custkey = b.s_suppkey")
 def dataset_outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("cell"), "c_acctbal")
-    b = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("cell"), "s_acctbal")
+    a = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("cell"), "c_acctbal")
+    b = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 0").select(F.col("s_suppkey").alias("cell"), "s_acctbal")
     return enrich.outer_merge([a, b], "cell")
 
 

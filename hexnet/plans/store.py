@@ -9,13 +9,17 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import InvalidArgument
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder made here where it is unset."""
+    """spark.checkpoint.dir, or, on a single machine where it is unset, a folder made here."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise InvalidArgument("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="hexnet-shared-"))
         found = sc._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
