@@ -215,7 +215,7 @@ def chains(potential: np.ndarray, starts: np.ndarray, lens: np.ndarray, join: np
 def fit_field(docs: list[tuple[str | None, int]], rounds: int = 80, decay: float = 1e-3) -> Field:
     """docs: (text, label).  Adam on the likelihood of the documents' labels, each document counting once."""
     share = sum(y for _, y in docs) / len(docs) if docs else 0.5
-    if not 0 < share < 1:
+    if not docs or not 0 < share < 1:
         p = min(0.999, max(0.001, share))
         return Field(np.zeros(WIDTH), np.zeros(SPARSE), np.zeros((2, 2)), (0.0, math.log(p / (1 - p))))
     shapes, buckets = _Memory(shape_of), _Memory(bucket_of)

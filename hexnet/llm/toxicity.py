@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_CLASS = 3000
-EXAMPLE_CHARS, SAMPLE_CHARS = 200_000, 32 << 20
+EXAMPLE_CHARS, SAMPLE_CHARS = 200_000, 16 << 20
 K = 25
 BLOCK = 16
 SHARE = 1 / 16
@@ -58,18 +58,29 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BETWEEN).split()
 
 
+class Counts:
+    """Words of texts: at (word -> number), and of one text after the other the words' numbers and how often they come."""
+
+    def __init__(self, texts):
+        self.at: dict[bytes, int] = {}
+        which, tf, lens = [], [], []
+        for t in texts:
+            own = Counter(words_of(t))
+            which.append(np.fromiter((self.at.setdefault(w, len(self.at)) for w in own), np.int32, len(own)))
+            tf.append(np.fromiter(own.values(), np.int32, len(own)))
+            lens.append(len(own))
+        none = np.zeros(0, np.int32)
+        self.which, self.tf, self.lens = np.concatenate([none, *which]), np.concatenate([none, *tf]), np.array(lens, np.int64)
+
+
 class Index:
-    """examples: (doc_id, label, weight, {word: tf}), in the order of doc_id."""
+    """examples: (doc_id, label, weight), in the order of doc_id; counts: of their texts."""
 
-    def __init__(self, examples: list[tuple[int, int, float, dict[bytes, int]]], prior: float, relevance: bool = True):
+    def __init__(self, examples: list[tuple[int, int, float]], counts: Counts, prior: float, relevance: bool = True):
         self.prior = prior
-        full = [x for x in examples if x[3]]
-        rest = [x for x in examples if not x[3]]
+        full, rest = [x for x, n in zip(examples, counts.lens, strict=True) if n], [x for x, n in zip(examples, counts.lens, strict=True) if not n]
         self.bare = (sum(x[2] * x[1] for x in rest) + prior) / (sum(x[2] for x in rest) + 1)
-        self.at = {w: k for k, w in enumerate(dict.fromkeys(w for x in full for w in sorted(x[3])))}
-        lens = np.array([len(x[3]) for x in full], np.int64)
-        which = np.fromiter((self.at[w] for x in full for w in x[3]), np.int32, lens.sum())
-        tf = np.fromiter((n for x in full for n in x[3].values()), float, lens.sum())
+        self.at, which, lens = counts.at, counts.which, counts.lens[counts.lens > 0]
         labels = np.array([x[1] for x in full], float)
         seen, toxic = np.bincount(which, minlength=len(self.at)), np.bincount(which, np.repeat(labels, lens), len(self.at))
         n, n1 = len(full), labels.sum()
@@ -78,7 +89,7 @@ class Index:
             p = seen / n
             z = (toxic / n1 - (seen - toxic) / (n - n1)) / np.sqrt(np.maximum(1e-12, p * (1 - p) * (1 / n1 + 1 / (n - n1))))
             self.worth = self.worth * np.sqrt(1 + z * z)
-        values = (1 + np.log(tf)) * self.worth[which]
+        values = (1 + np.log(counts.tf)) * self.worth[which]
         row = np.repeat(np.arange(n), lens)
         values = values / np.maximum(1e-300, np.sqrt(np.bincount(row, values * values, n)))[row]
         # like examples beside each other: by label, then by the number of words, on which weights depend
@@ -87,16 +98,29 @@ class Index:
         place[order] = np.arange(n)
         self.doc_ids, self.labels, self.weights = [full[k][0] for k in order], labels[order], np.array([full[k][2] for k in order], float)
         self.size = n
-        #: example -> its words and their weights
-        row = place[row]
-        own = np.lexsort((which, row))
-        self.words_of, self.weights_of, self.ends = which[own], values[own], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int64)
         #: word -> its list of examples and their weights
+        row = place[row]
         own = np.lexsort((row, which))
         self.list_of, self.list_weights, self.list_ends = row[own].astype(np.int32), values[own], np.concatenate([[0], np.cumsum(seen)]).astype(np.int64)
-        self.lens = np.diff(self.list_ends)
+        self.curve = (1.0, 0.0)
+        self._ready()
+
+    def __getstate__(self) -> dict:
+        """Without what follows from the lists."""
+        return {k: getattr(self, k) for k in ("prior", "bare", "at", "worth", "doc_ids", "labels", "weights", "size", "list_of", "list_weights", "list_ends", "curve")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._ready()
+
+    def _ready(self) -> None:
+        n, self.lens = self.size, np.diff(self.list_ends)
+        #: example -> its words and their weights
+        own = np.argsort(self.list_of, kind="stable")
+        self.example_words, self.example_weights = np.repeat(np.arange(len(self.at), dtype=np.int32), self.lens)[own], self.list_weights[own]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(self.list_of, minlength=n))]).astype(np.int64)
         #: long lists as columns of a matrix with a row for each example, and the largest weight of each of their blocks
-        long = np.flatnonzero(seen > SHARE * n)
+        long = np.flatnonzero(self.lens > SHARE * n)
         self.long_row = np.full(len(self.at), -1, np.int32)
         self.long_row[long] = np.arange(len(long))
         self.columns = np.zeros((n, len(long)))
@@ -106,7 +130,6 @@ class Index:
         starts = np.arange(0, n, BLOCK)
         self.most = np.ascontiguousarray(np.maximum.reduceat(self.columns, starts, axis=0).T) if n and len(long) else np.zeros((len(long), len(starts)))
         self.top = self.most.max(axis=1, initial=0.0)
-        self.curve = (1.0, 0.0)
         self.memory: dict[bytes, tuple[float, list[int], list[str]]] = {}
         #: examples that were compared, and those scored in full
         self.compared = self.scored = 0
@@ -159,8 +182,8 @@ class Index:
     def evidence(self, which: np.ndarray, w: np.ndarray, example: int) -> list[int]:
         """The words that add most to the cosine with an example."""
         part = slice(self.ends[example], self.ends[example + 1])
-        both, mine, other = np.intersect1d(which, self.words_of[part], assume_unique=True, return_indices=True)
-        return both[np.argsort(-w[mine] * self.weights_of[part][other], kind="stable")[:TOLD]].tolist()
+        both, mine, other = np.intersect1d(which, self.example_words[part], assume_unique=True, return_indices=True)
+        return both[np.argsort(-w[mine] * self.example_weights[part][other], kind="stable")[:TOLD]].tolist()
 
     def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
         """Score, ids of the three nearest examples, evidence."""
@@ -191,7 +214,7 @@ class Index:
         votes = []
         for k in range(self.size):
             part = slice(self.ends[k], self.ends[k + 1])
-            cosines, best = self.nearest(self.words_of[part].astype(np.int64), self.weights_of[part], leave=k)
+            cosines, best = self.nearest(self.example_words[part].astype(np.int64), self.example_weights[part], leave=k)
             votes.append(_logit(self.vote(cosines, best) if len(best) else self.bare))
         x, y, n = np.array(votes), self.labels, self.weights / self.weights.mean()
         a, b = 1.0, 0.0
@@ -223,17 +246,12 @@ def fit(documents: DataFrame, labels: DataFrame, keep: Column, per_class: int =
     prior = (known.get(1, 0) + 0.5) / (sum(known.values()) + 1)
     chosen = common.labelled_sample(documents, labels, "toxic", keep, per_class, EXAMPLE_CHARS, SAMPLE_CHARS)
 
-    @F.pandas_udf("words array<binary>, counts array<int>")
-    def counted(texts: pd.Series) -> pd.DataFrame:
-        every = [Counter(words_of(t)) for t in texts]
-        return pd.DataFrame({"words": [list(x) for x in every], "counts": [list(x.values()) for x in every]})
-
-    found = chosen.select("doc_id", "label", counted("text").alias("tf")).collect() if len(known) == 2 else []
+    found = chosen.collect() if len(known) == 2 else []
+    found.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     of = Counter(r["label"] for r in found)
-    examples = [(r["doc_id"], r["label"], known[r["label"]] / of[r["label"]], dict(zip(map(bytes, r["tf"]["words"]), r["tf"]["counts"], strict=True))) for r in found]
-    examples.sort(key=lambda x: (x[0], sorted(x[3].items())))
-    least = min((x[2] for x in examples), default=1.0)
-    index = Index([(i, y, w / least, tf) for i, y, w, tf in examples], prior, relevance)
+    each = {y: known[y] / n for y, n in of.items()}
+    least = min(each.values(), default=1.0)
+    index = Index([(r["doc_id"], r["label"], each[r["label"]] / least) for r in found], Counts(r["text"] for r in found), prior, relevance)
     index.calibrate()
     return index
 

@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,25 @@ def test_words_encode_like_whole_texts(name):
     assert e.encode([None]) == [b""]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_random_texts_encode_like_whole_ones(name):
+    rng, e = random.Random(3), tokens.WordEncoder(tokenizer(name))
+    some = [*"abZİıéΣς日.,'s!1½-\t\n ", "  ", "e\u0301", "\u0307", "ARİHİ.", "\u00a0", "\U0001f600", "the", " ", " ", "\u0345"]
+    texts = ["TARİHİ.", "BELEDİYESİ, tarih", "İ,"] + ["".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["".join(chr(rng.choice([rng.randint(32, 0x24F), rng.randint(0x250, 0x2FFF), rng.randint(0xE000, 0x1FFFF)])) for _ in range(8)) for _ in range(1000)]
+    assert e.kind and e.encode(texts) == e._whole(texts)
+
+
+def test_another_kind_of_tokenizer_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    t.pre_tokenizer = None
+    t.save(str(tmp_path / "t.json"))
+    e = tokens.WordEncoder(str(tmp_path / "t.json"))
+    assert e.kind is None and e.encode(["a b  c", None]) == e._whole(["a b  c", ""])
+
+
 def test_best_two_fit():
     rng = np.random.default_rng(1)
     for _ in range(40):
@@ -54,6 +75,36 @@ def test_best_two_fit():
     assert packing.best_two_fit([], 10) == []
 
 
+def test_best_two_fit_against_a_plain_version():
+    def plain(lengths, size):
+        left, bins = Counter(lengths), []
+        while left:
+            own, gap = [], size
+            while fits := [n for n in left if n <= gap]:
+                own.append(max(fits))
+                gap -= own[-1]
+                left -= Counter(own[-1:])
+            if gap and len(own) > 1 and left:
+                room = gap + own[-1]
+                pairs = [(a + b, a, b) for a in left for b in left if b <= a and a + b <= room and (a != b or left[a] > 1)]
+                if pairs and max(pairs)[0] > own[-1]:
+                    _, a, b = max(pairs)
+                    left = left - Counter([a, b]) + Counter([own.pop()])
+                    own += [a, b]
+            bins.append(own)
+        return bins
+
+    rng = np.random.default_rng(5)
+    for size in (10, 17, 40):
+        lengths = rng.integers(1, size + 1, 60).tolist()
+        assert [sorted(lengths[k] for k in b) for b in packing.best_two_fit(lengths, size)] == [sorted(b) for b in plain(lengths, size)]
+
+
+def test_packing_keeps_large_ids(spark):
+    df = spark.createDataFrame([((1 << 60) + 1, "a b"), (None, "c"), (5, None)], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack_documents(df, tokenizer("byte_bpe_50k.json")).collect()} == {(1 << 60) + 1, None, 5}
+
+
 def test_cut():
     assert packing.cut(5, 10) == [(0, 5)] and packing.cut(10, 10) == [(0, 10)]
     assert packing.cut(25, 10) == [(0, 5), (5, 10), (15, 10)] and packing.cut(20, 10) == [(0, 10), (10, 10)]
@@ -104,7 +155,21 @@ def test_records(spark):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids) // 4, zlib.crc32(ids))
         start += r.n_tokens
     empty = common.fresh_path(spark, "t")
-    assert records.write(docs(spark, []), empty, path, 1).count() == 0
+    assert records.write(docs(spark, []), empty, path, 1).count() == 0 and records.read(spark, empty).count() == 0
+    index = listed[0].path.removeprefix("file:").removesuffix(".rec") + ".idx"
+    with open(index, "r+b") as f:
+        f.seek(8)
+        f.write(b"\x07")
+    with pytest.raises(Exception, match="index|damaged"):
+        records.read(spark, folder).collect()
+
+
+def test_starts_over_many_bins(spark, monkeypatch):
+    monkeypatch.setattr(records, "SHARD_CHARS", 40)
+    monkeypatch.setattr(records, "BIN", 2)
+    folder = common.fresh_path(spark, "t")
+    listed = sorted(records.write(docs(spark, [(k, f"one two {k}", "en") for k in range(60)]), folder, tokenizer("word_bpe_49k.json"), 1).collect(), key=lambda r: (r.part, r.seq))
+    assert len(listed) > 4 and [r.start for r in listed] == [sum(x.n_tokens for x in listed[:k]) for k in range(len(listed))]
 
 
 # ---------------------------------------------------------------- decontamination
@@ -114,8 +179,6 @@ def _words(t):
 
 
 def test_decontamination(spark):
-    import random
-
     rnd = random.Random(3)
     vocab = ["alpha", "beta", "gamma", "Delta", "été", "x1"]
     text = lambda n: "".join(rnd.choice(vocab) + rnd.choice([" ", ", ", "\n", "--"]) for _ in range(n))
@@ -334,6 +397,33 @@ def test_chain_against_all_labellings():
         assert np.allclose(good, want / total) and np.allclose(pairs, count / total) and math.isclose(z, math.log(total))
 
 
+def test_chains_of_many_documents():
+    rng = np.random.default_rng(3)
+    lens = np.array([7, 4, 4, 1])
+    s, join = rng.normal(size=lens.sum()), rng.normal(size=(2, 2))
+    starts = np.cumsum(lens) - lens
+    good, pairs = quality.chains(s, starts, lens, join)
+    for k, (at, n) in enumerate(zip(starts, lens, strict=True)):
+        one, two, _ = quality.chain(s[at : at + n], join)
+        assert np.allclose(good[at : at + n], one) and np.allclose(pairs[k], two)
+
+
+def test_quality_knows_the_order_of_words():
+    rng = random.Random(0)
+    make = lambda: " ".join(["The", *(rng.choice("cat dog sees house it with".split()) for _ in range(8))]) + ". Then " + " ".join(rng.choice("cat dog sees".split()) for _ in range(5)) + "."
+
+    def shuffled(t):
+        return "\n".join(" ".join(rng.sample(line.split(), len(line.split()))) for line in t.split("\n"))
+
+    docs_ = [(t, 1) if k % 2 else (shuffled(t), 0) for k, t in enumerate("\n".join(make() for _ in range(3)) for _ in range(200))]
+    field = quality.fit_field(docs_)
+    fresh = ["\n".join(make() for _ in range(3)) for _ in range(40)]
+    assert np.mean([field.score(t) > field.score(shuffled(t)) for t in fresh]) > 0.9
+    # bad lines inside good documents are told apart
+    lines = np.array([field.marginals("\n".join([make(), shuffled(make()), make()]))[0] for _ in range(30)])
+    assert lines[:, 1].mean() < min(lines[:, 0].mean(), lines[:, 2].mean())
+
+
 def test_quality(spark):
     rows = [(k, "This is a fine sentence about it.\nAnd another line of words follows here.", 1) if k % 3 else (k, "WOW!! BUY!! NOW!!\n### %%% &&& BUY!!", 0) for k in range(90)]
     d, y = _learned(spark, rows, "quality")
@@ -355,18 +445,20 @@ def test_toxicity(spark):
     index = toxicity.fit(d, y, F.col("doc_id") % 7 != 0)
     got = {r.doc_id: r for r in toxicity.predict(d, index, "doc_id").collect()}
     assert all(got[k].predicted == v for k, _, v in rows)
-    assert got[0].neighbours and any(t.startswith("grum") for t in got[0].terms)
-    # exact: against all cosines
-    for _, t, v in rows[:60]:
-        tf = index.counts(t)
-        if tf:
-            which, w = index.vector(tf)
-            dense = np.zeros(len(index.doc_ids))
-            for x, value in zip(which, w):
-                ids, weights = index.postings[x]
-                dense[ids] += value * weights
-            want = sorted(((-s, k) for k, s in enumerate(dense) if s > 0))[: toxicity.K]
-            assert np.allclose([s for s, _ in index.nearest(tf)], [-s for s, _ in want])
+    assert got[0].neighbours and "grumblefoo" in got[0].terms
+    # exact: against all cosines over all words
+    examples = [Counter(toxicity.words_of(rows[i][1])) for i in index.doc_ids]
+    weight = lambda tf: {w: (1 + math.log(n)) * index.worth[index.at[w]] for w, n in tf.items() if w in index.at}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [weight(x) for x in examples]
+    assert all(set(x) == set(v) for x, v in zip(examples, vectors, strict=True))
+    for _, t, _ in rows[:60]:
+        own = weight(Counter(toxicity.words_of(t)))
+        cosines = [sum(x * v.get(w, 0) for w, x in own.items()) / norm(own) / norm(v) for v in vectors]
+        want = sorted(((-round(c, 9), k) for k, c in enumerate(cosines) if c > 0))[: toxicity.K]
+        found, _ = index.nearest(*index.vector(Counter(toxicity.words_of(t))))
+        assert np.allclose(found, [-c for c, _ in want], atol=2e-9)
+    assert all(r.neighbours for r in got.values())
     odd = toxicity.predict(docs(spark), index, "doc_id").collect()
     assert len(odd) == len(AWKWARD) and all(0 <= r.score <= 1 for r in odd)
     none = toxicity.fit(d, y.limit(0), F.lit(True))
@@ -401,14 +493,98 @@ def test_sample_is_bounded_and_stable(spark):
 
 # ---------------------------------------------------------------- language model
 
-def test_seats_keep_their_customers():
-    rng = np.random.default_rng(0)
-    c = np.array([2, 3, 50, 1000, 2, 7])
-    u = np.array([0, 0, 0, 1, 1, 2])
-    t, houses = lm.seat(c, u, np.full(6, 0.05), np.array([4, 0, 1]), np.ones(3), 0.7, 1.0, rng)
-    assert (t >= 1).all() and (t <= c).all() and np.allclose(houses, np.array([4, 0, 1]) + np.bincount(u, t))
-    few, _ = lm.seat(c, u, np.full(6, 1e-9), np.array([4, 0, 1]), np.ones(3), 0.7, 1.0, rng)
-    assert few.sum() < t.sum() and np.allclose(few[c == 2], 1)
+def _stirling(n):
+    """S(n, t) for the discount 1/2, t = 1 .. n."""
+    s = [0.0, 1.0]
+    for c in range(1, n):
+        s = [0.0] + [(s[t - 1] if t else 0) + (c - t / 2) * (s[t] if t < len(s) else 0) for t in range(1, c + 2)]
+    return np.array(s[1:])
+
+
+@pytest.mark.parametrize("c, alpha", [(2, 0.3), (3, 0.01), (5, 2.0), (12, 0.7), (60, 0.05), (60, 40.0)])
+def test_tables_are_drawn_from_their_distribution(c, alpha):
+    p = _stirling(c) * alpha ** np.arange(1, c + 1)
+    u = (np.arange(20_000) + 0.5) / 20_000
+    t = lm.draw_tables(np.full(len(u), c), np.full(len(u), alpha), u)
+    assert np.abs(np.bincount(t, minlength=c + 1)[1:] / len(u) - p / p.sum()).max() < 2e-4
+
+
+def test_other_draws():
+    seeds = np.arange(50_000, dtype=np.uint64)
+    for shape in (0.6, 2.0, 900.0):
+        x = lm.draw_gamma(np.full(len(seeds), shape), seeds, 3)
+        assert abs(x.mean() / shape - 1) < 0.03 and abs(x.var() / shape - 1) < 0.05
+    big = lm.draw_tables(np.array([10**6, 10**6, 2]), np.array([50.0, 1e-9, 1e9]), np.array([0.5, 0.5, 0.5]))
+    assert 1000 < big[0] < 30_000 and big[1] == 1 and big[2] == 2
+    assert np.allclose(lm.digamma(np.array([1.0, 2.5, 50.0])), [-0.5772156649, 0.7031566406, 3.9019896734])
+
+
+def _naive_scores(texts, asked, sweeps=120, burn=40, d=0.5, s=1.0):
+    """log10 of each asked text by one-by-one Gibbs over tables, contexts of one word and a root, strengths s."""
+    rng, rest = random.Random(1), {}
+    customers = [(u, w) for t in texts for u, w in zip(["^", *t.split()], [*t.split(), "$"])]
+    v = len({w for _, w in customers})
+    tables, root = {}, {}
+
+    def p_root(w):
+        n, k = sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (sum(root.get(w, [])) - d * len(root.get(w, [])) + (s + d * k) / (v + 1)) / (s + n)
+
+    def p(u, w):
+        own = tables.get(u, {})
+        n, k = sum(map(sum, own.values())), sum(map(len, own.values()))
+        return (sum(own.get(w, [])) - d * len(own.get(w, [])) + (s + d * k) * p_root(w)) / (s + n)
+
+    def join(at, w, base, k):
+        own = at.setdefault(w, [])
+        place = rng.random() * (sum(own) - d * len(own) + (s + d * k) * base)
+        for j, n in enumerate(own):
+            place -= n - d
+            if place < 0:
+                own[j] += 1
+                return False
+        own.append(1)
+        return True
+
+    def leave(at, w):
+        own = at[w]
+        j = rng.choices(range(len(own)), own)[0]
+        own[j] -= 1
+        if not own[j]:
+            del own[j]
+            return True
+        return False
+
+    def add(u, w):
+        if join(tables.setdefault(u, {}), w, p_root(w), sum(map(len, tables.get(u, {}).values()))):
+            join(root, w, 1 / (v + 1), sum(map(len, root.values())))
+
+    for u, w in customers:
+        add(u, w)
+    for k in range(sweeps):
+        for u, w in customers:
+            if leave(tables[u], w):
+                leave(root, w)
+            add(u, w)
+        if k >= burn:
+            for t in asked:
+                rest[t] = [a + p(u, w) for a, (u, w) in zip(rest.get(t, [0.0] * 99), zip(["^", *t.split()], [*t.split(), "$"]))]
+    return {t: sum(math.log10(x / (sweeps - burn)) for x in rest[t]) for t in asked}
+
+
+def test_language_model_against_one_by_one_gibbs(spark, monkeypatch):
+    monkeypatch.setattr(lm, "draw_strengths", lambda counts, n: np.ones(counts.shape[1]))
+    monkeypatch.setattr(lm, "ROOT_STRENGTH", 1.0)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("aaabbcdefgh") for _ in range(8)) for _ in range(25)]
+    asked = [*texts[:6], "a b c", "h h z", "z", "f e d a"]
+    want = _naive_scores(texts, asked)
+    rows = [(k, t, "en") for k, t in enumerate([*texts, *asked])]
+    got = {r.doc_id: r for r in lm.score(docs(spark, rows), F.col("doc_id") < len(texts)).collect()}
+    for k, t in enumerate(asked):
+        r = got[len(texts) + k]
+        assert abs(r.score - want[t]) < 0.03 * abs(want[t]), (t, r.score, want[t])
+        assert math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens))
 
 
 def test_language_model(spark):
@@ -445,13 +621,21 @@ def test_language_model(spark):
     assert untaught.train_tokens == 0 and untaught.base_score == 0 and untaught.score == 0
 
 
-def test_hot_contexts_are_parted(spark, monkeypatch):
+def test_scores_do_not_depend_on_dealing(spark, monkeypatch):
     rows = [(k, " ".join(f"a b{(k * 7 + j) % 50}" for j in range(20)), "en") for k in range(40)]
-    one = {r.doc_id: r.score for r in lm.score(docs(spark, rows), F.lit(True)).collect()}
-    monkeypatch.setattr(lm, "HOT", 100)
+    score = lambda: {r.doc_id: r.score for r in lm.score(docs(spark, rows).repartition(3), F.lit(True)).collect()}
+    one = score()
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 300)
-    parted = {r.doc_id: r.score for r in lm.score(docs(spark, rows), F.lit(True)).collect()}
-    assert all(abs(one[k] - parted[k]) < 0.05 * abs(one[k]) for k in one)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 100)
+    monkeypatch.setattr(lm, "WORD_SHARD_TOKENS", 500)
+    dealt = score()
+    assert all(abs(one[k] - dealt[k]) < 0.002 * abs(one[k]) for k in one)
+    # a divided context's parts know the others' tables as they were before the round
+    monkeypatch.setattr(lm, "HOT", 100)
+    parted = score()
+    assert all(abs(one[k] - parted[k]) < 0.01 * abs(one[k]) for k in one)
+    monkeypatch.setattr(lm, "MOST_HOT", 0)
+    assert all(abs(v - parted[k]) < 1e-6 for k, v in score().items())
 
 
 def test_probabilities_leave_room(spark):
@@ -491,6 +675,49 @@ def test_chat_events(spark):
     assert got == {1: [("user", "HI!"), ("assistant", "better")], 2: [("user", "x"), ("tool", "z")], None: [("user", "n")], 3: [("user", "same")] * 2}
 
 
+def _folded(log):
+    """The log folded one event after the other."""
+    known, out = lambda x: (x is not None, x if x is not None else 0), {}
+    for conv in {r[0] for r in log}:
+        rows = [(r[1], r[2] or "message", r[3], r[4] or "", r[5]) for r in log if r[0] == conv]
+        msgs = []
+        for seq, op, role, text, target in sorted(rows, key=lambda r: (known(r[0]), r[1], (r[2] is not None, r[2] or ""), r[3])):
+            at = len(msgs) - 1 if target is None else max((k for k, m in enumerate(msgs) if m[0] is not None and m[0] == target), default=-1)
+            if op == "regenerate" and at >= 0:
+                for m in msgs[at:]:
+                    m[3] = False
+                role = msgs[at][1] if role is None else role
+            if op in ("message", "regenerate"):
+                msgs.append([seq, role, text, True])
+            elif at >= 0:
+                msgs[at][2] = msgs[at][2] + text if op == "delta" else text
+        out[conv] = [(m[1] or "", m[2]) for m in msgs if m[3]]
+    return out
+
+
+def test_chat_against_a_plain_fold(spark):
+    rng, log = random.Random(4), []
+    for conv in [*range(10), None]:
+        for s in range(rng.randint(1, 40)):
+            op = rng.choice(["message", "message", "delta", "delta", "edit", "regenerate", None])
+            log.append((conv, rng.choice([s, s, s, rng.randint(0, 5), None]), op, rng.choice(["user", "assistant", None]), rng.choice(["x", "yy", "", None, f"t{s}"]), rng.choice([None, None, rng.randint(0, 40), rng.randint(0, 6)])))
+    got = {}
+    for r in sorted(chat.fold(spark.createDataFrame(log, "conv_id long, seq long, op string, role string, text string, target long").repartition(5)).collect(), key=lambda r: r.n):
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {c: v for c, v in _folded(log).items() if v}
+
+
+def test_chat_long_conversation_and_message(spark):
+    n = 20_000
+    part = F.when(F.col("id") % 2 == 0, "message").otherwise("delta")
+    log = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("seq"), part.alias("op"), F.lit("assistant").alias("role"), F.lit("some text").alias("text"), F.lit(None).cast("long").alias("target"))
+    d = chat.digest(chat.format_log(log)).first()
+    assert d.n_turns == n // 2 and d.loss_chars == 9 * n
+    one = log.withColumn("op", F.when(F.col("seq") == 0, "message").otherwise("delta"))
+    d = chat.digest(chat.format_log(one)).first()
+    assert d.n_turns == 1 and d.loss_sha256 == hashlib.sha256(b"some text" * n).hexdigest()
+
+
 # ---------------------------------------------------------------- top k
 
 def test_topk_against_brute_force(spark):
@@ -511,3 +738,30 @@ def test_topk_against_brute_force(spark):
     assert topk.search(topk.quantize(e.limit(0)), F.col("vec_id") % 100 == 0).count() == 0
     two = topk.search(topk.quantize(e.where("vec_id in (100, 101)")), F.col("vec_id") % 100 == 0).collect()
     assert [(r.query_id, r.vec_id) for r in two] == [(100, 101)]
+
+
+def test_topk_of_huge_components_and_what_is_skipped(spark):
+    rows = [(k, [float(k % 7), float(k % 5)]) for k in range(50)] + [(100, [1e300, -1e300]), (101, [-1e300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): r for r in topk.search(topk.quantize(df), F.col("vec_id") % 100 == 0, 3).collect()}
+    assert got[100, 1].score == 2**63 - 1 and len(got) == 6
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 8)) * 3
+    rows = [(k, (centres[k % 20] + rng.normal(size=8) * 0.1).tolist()) for k in range(2000)]
+    df, report = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), {}
+    found = topk.search(topk.quantize(df), F.col("vec_id") % 100 == 0, 10, report).collect()
+    x = np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
+    for q in range(0, 2000, 100):
+        s = x @ x[q]
+        s[q] = -(1 << 62)
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == np.lexsort((np.arange(2000), -s))[:10].tolist()
+    assert report["skipped"] > 5 * report["searched"]
+
+
+def test_topk_in_many_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(300)], "vec_id long, embedding array<double>")
+    one = sorted(topk.search(topk.quantize(df), F.col("vec_id") % 10 == 0, 5).collect())
+    monkeypatch.setattr(topk, "CHUNK", 7)
+    monkeypatch.setattr(topk, "HELD", 10)
+    assert sorted(topk.search(topk.quantize(df), F.col("vec_id") % 10 == 0, 5).collect()) == one
