@@ -67,17 +67,18 @@ def once_per_id(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
-def sample(rows: DataFrame, by: str, per: int) -> DataFrame:
+def sample(rows: DataFrame, by: str, per: int, most: int = 1000, total: int | None = None) -> DataFrame:
     """About ``per`` rows of each value of ``by``, all where there are fewer: those whose hashed doc_id is
     below the share wanted.  The same rows are chosen however the table is dealt, and no group of rows
-    meets in one task.  The values of ``by`` must be few: their counts come to the driver.
+    meets in one task.  Only the ``most`` frequent values are taken (their counts come to the driver), and fewer rows of
+    each where there would be more than ``total``.
     """
-    counts = rows.groupBy(by).count().collect()
+    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(most).collect()
+    per = min(per, total // max(1, len(counts))) if total else per
     wanted = F.lit(False)
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
     for r in counts:
-        if r[by] is not None:
-            wanted = wanted | ((F.col(by) == r[by]) & (place < F.lit(int((1 << 30) * min(1.0, per / r["count"])))))
+        wanted = wanted | ((F.col(by) == r[by]) & (place < F.lit(int((1 << 30) * min(1.0, per / r["count"])))))
     return rows.where(wanted)
 
 

@@ -6,8 +6,9 @@ one to three letters, with word limits, of the whole text in lower case, counted
 scaled to unit length.
 
 Machines are fitted on the driver, on the features of about ``per_language`` training texts of each
-language (chosen by the hashes of their ids); the features of a text are a vector of DIM
-numbers however long it is.  The models, a few vectors of DIM numbers, are sent to every task.
+language (chosen by the hashes of their ids), fewer where MOST_LANGUAGES languages would have more than MOST_TEXTS; of more languages,
+the most frequent are learned.  The features of a text are a vector of DIM numbers however long it is.  The
+models, a few vectors of DIM numbers, are sent to every task.
 
 Defined results: ``und`` with score 0 for a null text and a text without a letter, and for any text if
 nothing was learned; a family with one language needs no second step; an empty table gives no row;
@@ -29,6 +30,8 @@ from . import common
 
 DIM = 1 << 13
 PER_LANGUAGE = 400
+#: Languages that are learned, the most frequent ones, and texts of all languages in the sample: 256 MB of features at most.
+MOST_LANGUAGES, MOST_TEXTS = 250, 8000
 #: Families of common languages by ISO 639-1 code.  A language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fy lb yi",
@@ -139,7 +142,7 @@ def _sigmoid(v: float) -> float:
 def fit(documents: DataFrame, keep: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from about per_language texts of each non-null lang among the rows that keep selects."""
     common.ready(documents.sparkSession)
-    texts = common.sample(documents.where(keep & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text"), "lang", per_language)
+    texts = common.sample(documents.where(keep & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text"), "lang", per_language, MOST_LANGUAGES, MOST_TEXTS)
 
     @F.pandas_udf("binary")
     def vectors(text: pd.Series) -> pd.Series:
