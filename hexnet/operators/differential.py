@@ -37,6 +37,8 @@ def differential_paths(
         raise InvalidArgument("no cell is closed")
     origins = select_origins(origins, closed)
     rounds = Rounds(edges.sparkSession, keep=10)
+    if not edges.storageLevel.useMemory:
+        edges = rounds.write(edges)  # read several times
     before = rounds.write(shortest_paths(edges, origins, destinations, options, profile, lattice))
     try:
         after = rounds.write(shortest_paths(g.exclude(edges, closed), origins, destinations, options, profile, lattice))

@@ -37,12 +37,15 @@ def build(edges: DataFrame) -> DataFrame:
     return out.select("edge", "src", "dst", F.col("w.td").cast("double").alias("td"), F.col("w.pref").cast("double").alias("pref"), F.col("w.len_m").cast("double").alias("len_m"))
 
 
-def merge(*graphs: DataFrame) -> DataFrame:
-    """All edges of networks of one resolution; the least weight of those that are in several."""
+def merge(*graphs: DataFrame, resolution: Callable[[Column], Column] | None = None) -> DataFrame:
+    """All edges of networks of one resolution; the least weight of those that are in several.
+
+    Given a resolution of cells, MixedResolutions is raised where there are several, which runs a job.
+    """
     out = graphs[0].select(EDGE)
     for g in graphs[1:]:
         out = out.unionByName(g.select(EDGE))
-    return build(out)
+    return build(check(out, resolution) if resolution else out)
 
 
 def check(edges: DataFrame, resolution: Callable[[Column], Column] | None = None) -> DataFrame:

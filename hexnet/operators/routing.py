@@ -37,12 +37,14 @@ LABEL = "origin long, node long, td double, pref double, len_m double, hops int,
 @dataclass(frozen=True)
 class Options:
     """k: destinations to reach (None or 0: all).  gap: rings to look for a cell of the network around a
-    cell that isn't one.  strategy: auto, relax or local.
+    cell that isn't one.  strategy: auto, relax or local.  paths: whether paths' edges are wanted, or costs
+    alone (edges are empty then, which spares most of a long path's row).
     """
 
     k: int | None = None
     gap: int = 0
     strategy: str = "auto"
+    paths: bool = True
 
     def __post_init__(self) -> None:
         if self.k is not None and self.k < 0 or self.gap < 0 or self.strategy not in ("auto", "relax", "local"):
@@ -79,7 +81,7 @@ class _Arrays:
             self.lists = self.cells.tolist(), src, self.edge.tolist(), [each[a:b] for a, b in zip(starts, starts[1:], strict=False)]
         return self.lists
 
-    def search(self, origin: int, profile: Profile, limit: float | None, targets: set[int] | None, k: int | None) -> list[tuple]:
+    def search(self, origin: int, profile: Profile, limit: float | None, targets: set[int] | None, k: int | None, paths: bool = True) -> list[tuple]:
         """(cell, td, pref, len_m, hops, path of edges) of settled cells; of targets only if they are given."""
         at = int(np.searchsorted(self.cells, origin))
         zero = profile.zero
@@ -101,7 +103,7 @@ class _Arrays:
             cell = cells[here]
             if targets is None or cell in targets:
                 path, x = [], here
-                while state[x][3] >= 0:
+                while paths and state[x][3] >= 0:
                     e = state[x][3]
                     path.append(names[e])
                     x = sources[e]
@@ -129,7 +131,7 @@ class _Arrays:
         return out
 
 
-def _local(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float | None, targets: DataFrame | None, k: int | None) -> DataFrame:
+def _local(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float | None, targets: DataFrame | None, k: int | None, paths: bool) -> DataFrame:
     ship(edges.sparkSession)
     sc = edges.sparkSession.sparkContext
     arrays = sc.broadcast(_Arrays(edges))
@@ -143,7 +145,7 @@ def _local(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for origin in batch["cell"]:
-                rows = arrays.value.search(int(origin), profile, limit, wanted.value if wanted else None, k)
+                rows = arrays.value.search(int(origin), profile, limit, wanted.value if wanted else None, k, paths)
                 if rows:
                     yield pd.DataFrame([(int(origin), *r) for r in rows], columns=["origin", "node", "td", "pref", "len_m", "hops", "path"])
 
@@ -151,7 +153,7 @@ def _local(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float
     return cells.repartition(max(1, min(4 * sc.defaultParallelism, 10_000)), "cell").mapInPandas(run, LABEL)
 
 
-def _relax(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float | None, targets: DataFrame | None, k: int | None) -> DataFrame:
+def _relax(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float | None, targets: DataFrame | None, k: int | None, paths: bool) -> DataFrame:
     rounds = Rounds(edges.sparkSession)
     zero = profile.zero
     key = lambda: profile.key_column(F.col("td"), F.col("pref"))
@@ -176,7 +178,7 @@ def _relax(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float
         t, p = profile.add_columns(F.col("t"), F.col("p"), F.col("td"), F.col("pref"))
         new = front.join(step, front["node"] == step["src"]).select(
             "origin", F.col("dst").alias("node"), t.alias("td"), p.alias("pref"), (F.col("len_m") + F.col("l")).alias("len_m"), (F.col("hops") + 1).alias("hops"),
-            F.col("src").alias("prev"), F.concat("path", F.array("edge")).alias("path"), F.lit(n).alias("round"),
+            F.col("src").alias("prev"), (F.concat("path", F.array("edge")) if paths else F.col("path")).alias("path"), F.lit(n).alias("round"),
         )
         if limit is not None:
             new = new.where(key()["k1"] <= limit)
@@ -195,9 +197,9 @@ def _relax(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float
     return out
 
 
-def _labels(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float | None, targets: DataFrame | None, k: int | None, strategy: str) -> DataFrame:
+def _labels(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float | None, targets: DataFrame | None, k: int | None, strategy: str, paths: bool) -> DataFrame:
     run = _local if _strategy(edges, strategy) == "local" else _relax
-    return run(edges, origins, profile, limit, targets, k)
+    return run(edges, origins, profile, limit, targets, k, paths)
 
 
 def within_threshold(edges: DataFrame, origins: DataFrame, limit: float, profile: Profile = SCALAR, strategy: str = "auto") -> DataFrame:
@@ -207,7 +209,7 @@ def within_threshold(edges: DataFrame, origins: DataFrame, limit: float, profile
     """
     if not (limit > 0 and limit < float("inf")):
         raise InvalidArgument("the limit must be a positive number")
-    out = _labels(edges, origins, profile, float(limit), None, None, strategy)
+    out = _labels(edges, origins, profile, float(limit), None, None, strategy, False)
     return out.select("origin", F.col("node").alias("cell"), "td", "pref")
 
 
@@ -266,7 +268,7 @@ def shortest_paths(
     elif not ends.limit(1).count():
         raise DestinationsNotInGraph("no destination is near a cell of the network")
     k = options.k or None
-    labels = _labels(edges, starts.select(F.col("node").alias("cell")), profile, None, ends.select(F.col("node").alias("cell")), k, options.strategy)
+    labels = _labels(edges, starts.select(F.col("node").alias("cell")), profile, None, ends.select(F.col("node").alias("cell")), k, options.strategy, options.paths)
     out = labels.join(starts.select(F.col("requested").alias("origin_cell"), F.col("node").alias("s")), labels["origin"] == F.col("s"))
     out = out.join(ends.select(F.col("requested").alias("destination"), F.col("node").alias("e")), out["node"] == F.col("e"))
     return out.select(

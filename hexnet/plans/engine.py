@@ -21,10 +21,16 @@ from ..sources.graphs import GraphKey
 
 
 class Engine:
-    """lattice: of a resolution's cells; parent(column, resolution): of cells, for datasets by coarse cell."""
-
-    def __init__(self, spark: SparkSession, config: Config, lattice: Callable[[int], Lattice] | None = None, parent: Callable[[Column, int], Column] | None = None):
-        self.spark, self.config, self.lattice, self.parent = spark, config, lattice, parent
+    """lattice: of a resolution's cells; parent(column, resolution): of cells, for datasets by coarse cell;
+    cells_at(frame, column, resolution): the distinct valid cells of a request's at the network's resolution (for H3 ids
+    ``bits.distinct_at``; without it, requests must bring cells of that resolution).
+    """
+
+    def __init__(
+        self, spark: SparkSession, config: Config, lattice: Callable[[int], Lattice] | None = None, parent: Callable[[Column, int], Column] | None = None,
+        cells_at: Callable[[DataFrame, str, int], DataFrame] | None = None,
+    ):
+        self.spark, self.config, self.lattice, self.parent, self.cells_at = spark, config, lattice, parent, cells_at
         self._graphs: OrderedDict[GraphKey, DataFrame] = OrderedDict()
 
     # ------------------------------------------------------------ catalog
@@ -57,8 +63,9 @@ class Engine:
         return edges
 
     def select(self, cells: DataFrame, key: GraphKey, dataset: str | None = None) -> tuple[DataFrame, DataFrame | None]:
-        """Distinct cells, without nulls; of a dataset: those it has, and its rows for them."""
-        cells = cells.select(F.col("cell").cast("long").alias("cell")).where("cell is not null").distinct()
+        """Distinct cells of the network's resolution, without nulls and invalid ones; of a dataset: those it has, and its rows for them."""
+        cells = cells.select(F.col("cell").cast("long").alias("cell")).where("cell is not null")
+        cells = self.cells_at(cells, "cell", key.resolution) if self.cells_at else cells.distinct()
         if dataset is None:
             return cells, None
         if dataset not in self.config.datasets:

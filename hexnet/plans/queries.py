@@ -232,9 +232,9 @@ def _paths_sql(net: str = L, starts: str = STARTS, ends: str = ENDS, seed: str =
  r as (select origin, node destination, td from w where node in (select c_custkey from customer where {ends}))"""
 
 
-def _paths(spark: SparkSession, sf_dir: str, k: int | None = None, starts: str = STARTS, ends: str = ENDS, profile: Profile = SCALAR, **more) -> DataFrame:
+def _paths(spark: SparkSession, sf_dir: str, k: int | None = None, starts: str = STARTS, ends: str = ENDS, profile: Profile = SCALAR, paths: bool = False, **more) -> DataFrame:
     edges = networks.lattice(spark, sf_dir)
-    return routing.shortest_paths(edges, _cells(spark, sf_dir, starts), _cells(spark, sf_dir, ends), routing.Options(k=k, **more), profile, LATTICE)
+    return routing.shortest_paths(edges, _cells(spark, sf_dir, starts), _cells(spark, sf_dir, ends), routing.Options(k=k, paths=paths, **more), profile, LATTICE)
 
 
 @query(_paths_sql(starts="c_custkey = 1") + " select origin, destination, td from r")
@@ -267,7 +267,7 @@ def sp_unreached_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_paths_sql() + " select origin, destination, td from r")
 def path_weight_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of paths as sums over their edges."""
-    each = _paths(spark, sf_dir).select("origin", "destination", F.explode_outer("edges").alias("edge"))
+    each = _paths(spark, sf_dir, paths=True).select("origin", "destination", F.explode_outer("edges").alias("edge"))
     with_td = each.join(networks.lattice(spark, sf_dir).select("edge", "td"), "edge", "left")
     return with_td.groupBy("origin", "destination").agg(F.coalesce(F.sum("td"), F.lit(0.0)).alias("td"))
 
@@ -318,13 +318,13 @@ def sp_with_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_paths_sql() + f""", c as (select * from r)
  select origin, destination, td, cast(origin as bigint) first_cell, cast(destination as bigint) last_cell from c""")
 def path_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = routing.path_cells(_paths(spark, sf_dir), networks.lattice(spark, sf_dir))
+    out = routing.path_cells(_paths(spark, sf_dir, paths=True), networks.lattice(spark, sf_dir))
     return out.select("origin", "destination", "td", F.element_at("cells", 1).alias("first_cell"), F.element_at("cells", -1).alias("last_cell"))
 
 
 @query(_paths_sql() + " select count(*) n, cast(sum(td) as double) td, true whole from r")
 def path_edges_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = _paths(spark, sf_dir)
+    paths = _paths(spark, sf_dir, paths=True)
     whole = F.bool_and((F.size("edges") == F.col("hops")) & (F.col("length_m") == F.col("hops")))
     return paths.agg(F.count(F.lit(1)).alias("n"), F.sum("td").alias("td"), whole.alias("whole"))
 
@@ -339,7 +339,7 @@ _DIFF = f"with recursive {_BEFORE},\n{_AFTER}"
 
 def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = networks.lattice(spark, sf_dir)
-    return differential.differential_paths(edges, _cells(spark, sf_dir, CLOSED), _cells(spark, sf_dir, STARTS), _cells(spark, sf_dir, ENDS), routing.Options(), SCALAR, LATTICE)
+    return differential.differential_paths(edges, _cells(spark, sf_dir, CLOSED), _cells(spark, sf_dir, STARTS), _cells(spark, sf_dir, ENDS), routing.Options(paths=False), SCALAR, LATTICE)
 
 
 @query(_DIFF + """, o as (select distinct origin from b)
@@ -368,7 +368,7 @@ def diff_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diff_prerouted_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     coarse = g.downsample_lattice(networks.lattice(spark, sf_dir), LATTICE)
-    return differential.preroute(coarse, _cells(spark, sf_dir, "c_acctbal < -950"), _cells(spark, sf_dir, STARTS), _cells(spark, sf_dir, ENDS), Lattice(networks.WIDTH, 500.0), routing.Options(), SCALAR)
+    return differential.preroute(coarse, _cells(spark, sf_dir, "c_acctbal < -950"), _cells(spark, sf_dir, STARTS), _cells(spark, sf_dir, ENDS), Lattice(networks.WIDTH, 500.0), routing.Options(paths=False), SCALAR)
 
 
 # ---------------------------------------------------------------- cells
@@ -535,7 +535,7 @@ def mercator_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def route_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed and simplified lines of paths, as WKB."""
-    paths = routing.path_cells(_paths(spark, sf_dir, k=3), networks.lattice(spark, sf_dir)).where("hops > 0")
+    paths = routing.path_cells(_paths(spark, sf_dir, k=3, paths=True), networks.lattice(spark, sf_dir)).where("hops > 0")
     return geo.route_wkb(paths, lambda c: LATTICE.centre(c)).select("origin", "destination", "td", "wkb")
 
 

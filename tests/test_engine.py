@@ -163,3 +163,27 @@ def test_streamed_updates(spark, tmp_path):
     q = updates.latest(stream).writeStream.format("memory").queryName("means").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("means").where("edge = 1").agg(F.sum("n")).first()[0] == 2
+
+
+def test_cells_of_requests_and_merged_resolutions(engine, spark):
+    from hexnet.errors import MixedResolutions
+    from hexnet.functions import bits
+
+    base = 1 << 59 | 20 << 45
+    cell = lambda res, *digits: base | res << 52 | sum(d << 3 * (14 - k) for k, d in enumerate(digits)) | (1 << 3 * (15 - res)) - 1
+    e = Engine(spark, engine.config, cells_at=bits.distinct_at)
+    got, _ = e.select(cells(spark, cell(2, 3, 4), cell(3, 3, 4, 0), cell(4, 3, 5, 1, 2), 17, None), GraphKey("roads", 3))
+    assert {r.cell for r in got.collect()} == {cell(3, 3, 4, d) for d in range(7)} | {cell(3, 3, 5, 1)}
+    one, two = (spark.createDataFrame([(1, cell(r, *range(r)), cell(r, *range(r)), 1.0, 0.0, 1.0)], "edge long, src long, dst long, td double, pref double, len_m double") for r in (3, 4))
+    assert g.merge(one, one, resolution=bits.resolution).count() == 1
+    with pytest.raises(MixedResolutions):
+        g.merge(one, two, resolution=bits.resolution)
+
+
+def test_costs_without_paths(engine, spark):
+    from hexnet.operators import routing
+
+    edges = engine.graph(GraphKey("roads", 8))
+    for strategy in ("local", "relax"):
+        full, slim = (routing.shortest_paths(edges, cells(spark, 0, 2), cells(spark, 260, 200), Options(strategy=strategy, paths=p)).select("origin", "destination", "td", "hops", "edges").collect() for p in (True, False))
+        assert sorted(r[:4] for r in full) == sorted(r[:4] for r in slim) and not any(r.edges for r in slim) and all(len(r.edges) == r.hops for r in full)
