@@ -218,16 +218,19 @@ def fit_field(docs: list[tuple[str | None, int]], rounds: int = 80, decay: float
     if not docs or not 0 < share < 1:
         p = min(0.999, max(0.001, share))
         return Field(np.zeros(WIDTH), np.zeros(SPARSE), np.zeros((2, 2)), (0.0, math.log(p / (1 - p))))
-    shapes, buckets = _Memory(shape_of), _Memory(bucket_of)
-    known = sorted(((*describe(t), y) for t, y in docs), key=lambda d: -len(d[0]))
-    lens, y = np.array([len(d[0]) for d in known]), np.array([d[3] for d in known], float)
+    shapes, buckets, known = _Memory(shape_of), _Memory(bucket_of), []
+    for t, label in docs:  # one text's words at a time
+        x, lengths, words = describe(t)
+        lines = [sparse_features(line, shapes, buckets) for line in words]
+        n = [len(a) for a, _ in lines]
+        at, value = np.fromiter((k for a, _ in lines for k in a), np.int32, sum(n)), np.fromiter((v for _, b in lines for v in b), np.float32, sum(n))
+        known.append((x.astype(np.float32), lengths, at, value, np.array(n, np.int32), label))
+    known.sort(key=lambda d: -len(d[0]))
+    lens, y = np.array([len(d[0]) for d in known]), np.array([d[5] for d in known], float)
     starts = np.cumsum(lens) - lens
-    x, lengths = np.vstack([d[0] for d in known]), np.concatenate([d[1] for d in known])
-    lines = [sparse_features(line, shapes, buckets) for d in known for line in d[2]]
-    del known
-    of = np.repeat(np.arange(len(lines), dtype=np.int32), [len(a) for a, _ in lines])
-    at, value = np.fromiter((k for a, _ in lines for k in a), np.int32, len(of)), np.fromiter((v for _, b in lines for v in b), float, len(of))
-    del lines
+    x, lengths, at, value, n = (np.concatenate([d[k] for d in known]) for k in range(5))
+    of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    del known, shapes, buckets
     each = np.repeat(1 / (lens * len(lens)), lens)
     evidence = np.repeat((2 * y - 1) * math.log(AGREE / (1 - AGREE)), lens)
     theta = np.zeros(WIDTH + SPARSE + 4)
