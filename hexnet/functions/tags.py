@@ -24,29 +24,39 @@ ZONES = {
 }
 #: km/h of a unit.
 UNITS = {"mph": 1.609344, "m/h": 1.609344, "knots": 1.852, "knot": 1.852, "kn": 1.852, "ms": 3.6, "m/s": 3.6}
-#: Limits by class of road where tags have none.
+#: km/h by class of road where tags have no limit.
 CLASS_LIMITS = {
-    120: "motorway motorway_link primary primary_link", 80: "rural tertiary tertiary_link", 100: "trunk trunk_link secondary secondary_link",
-    50: "urban road unclassified", 5: "pedestrian footway path", 7: "living_street", 30: "bicycle_road service residential track",
+    "motorway": 120, "motorway_link": 120, "primary": 120, "primary_link": 120,
+    "rural": 80, "tertiary": 80, "tertiary_link": 80,
+    "trunk": 100, "trunk_link": 100, "secondary": 100, "secondary_link": 100,
+    "urban": 50, "road": 50, "unclassified": 50,
+    "pedestrian": 5, "footway": 5, "path": 5, "living_street": 7,
+    "bicycle_road": 30, "service": 30, "residential": 30, "track": 30,
 }
 #: Preference and speed factor of a car by class of road.
 CAR = {
-    "motorway motorway_link trunk trunk_link primary primary_link": (3.0, 1.0), "secondary secondary_link": (4.0, 0.9), "tertiary tertiary_link": (5.0, 0.8),
-    "unclassified residential living_street service rural": (8.0, 0.95), "road": (9.0, 0.9), "pedestrian footway": (50.0, 1.0),
+    "motorway": (3.0, 1.0), "motorway_link": (3.0, 1.0), "trunk": (3.0, 1.0), "trunk_link": (3.0, 1.0), "primary": (3.0, 1.0), "primary_link": (3.0, 1.0),
+    "secondary": (4.0, 0.9), "secondary_link": (4.0, 0.9), "tertiary": (5.0, 0.8), "tertiary_link": (5.0, 0.8),
+    "unclassified": (8.0, 0.95), "residential": (8.0, 0.95), "living_street": (8.0, 0.95), "service": (8.0, 0.95), "rural": (8.0, 0.95),
+    "road": (9.0, 0.9), "pedestrian": (50.0, 1.0), "footway": (50.0, 1.0),
 }
 #: Preference on foot by class of road, without and with a sidewalk; None: not passable.
 FOOT = {
-    "motorway motorway_link trunk trunk_link primary primary_link": (None, 10.0), "secondary secondary_link tertiary tertiary_link": (None, 6.0), "road": (None, 4.0),
-    "unclassified residential living_street service rural": (2.0, 1.0), "pedestrian footway track path steps": (1.0, 1.0),
+    "motorway": (None, 10.0), "motorway_link": (None, 10.0), "trunk": (None, 10.0), "trunk_link": (None, 10.0), "primary": (None, 10.0), "primary_link": (None, 10.0),
+    "secondary": (None, 6.0), "secondary_link": (None, 6.0), "tertiary": (None, 6.0), "tertiary_link": (None, 6.0), "road": (None, 4.0),
+    "unclassified": (2.0, 1.0), "residential": (2.0, 1.0), "living_street": (2.0, 1.0), "service": (2.0, 1.0), "rural": (2.0, 1.0),
+    "pedestrian": (1.0, 1.0), "footway": (1.0, 1.0), "track": (1.0, 1.0), "path": (1.0, 1.0), "steps": (1.0, 1.0),
 }
-_LIMIT = r"^([A-Za-z\-]+:(zone:?)?)?([1-9][0-9]*)(\s*([a-zA-Z/]+))?"
+# a speed tag: perhaps a country's or zone's name and a colon, a whole number, perhaps a unit
+_ZONE, _NUMBER, _UNIT = "[A-Za-z-]+:(?:zone:?)?", "[1-9][0-9]*", "[A-Za-z/]+"
+_LIMIT = rf"^(?:{_ZONE})?({_NUMBER})\s*({_UNIT})?"
 
 
 def _choice(c: Column, table: dict) -> Column:
-    """The value of the table's entry, of names parted by spaces, that has c; null elsewhere."""
+    """The table's value of c; null elsewhere."""
     out = F.lit(None).cast("double")
-    for names, value in table.items():
-        out = F.when(c.isin(*names.split()), F.lit(value).cast("double")).otherwise(out)
+    for value in dict.fromkeys(table.values()):
+        out = F.when(c.isin(*(name for name, v in table.items() if v == value)), F.lit(value).cast("double")).otherwise(out)
     return out
 
 
@@ -55,14 +65,14 @@ def max_speed(value: Column) -> Column:
     name = F.trim(F.lower(value))
     zones = F.create_map(*(F.lit(x) for k, v in ZONES.items() for x in (k, float(v))))
     units = F.create_map(*(F.lit(x) for k, v in UNITS.items() for x in (k, v)))
-    number = F.regexp_extract(value, _LIMIT, 3)
-    parsed = F.when(number != "", number.cast("double") * F.coalesce(units[F.regexp_extract(value, _LIMIT, 5)], F.lit(1.0)))
+    number = F.regexp_extract(value, _LIMIT, 1)
+    parsed = F.when(number != "", number.cast("double") * F.coalesce(units[F.regexp_extract(value, _LIMIT, 2)], F.lit(1.0)))
     return F.when(name == "none", F.lit(UNLIMITED)).when(name == "", None).otherwise(F.coalesce(zones[name], parsed))
 
 
 def infer_max_speed(tags: Column, highway: Column) -> Column:
     """The limit of a way: its own, its zone's, or that of its class of road; null if none is known."""
-    by_class = _choice(highway, {names: kmh for kmh, names in CLASS_LIMITS.items()})
+    by_class = _choice(highway, CLASS_LIMITS)
     return F.coalesce(max_speed(tags["maxspeed"]), max_speed(tags["zone:maxspeed"]), by_class)
 
 
