@@ -15,6 +15,7 @@ same way everywhere.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,7 +71,7 @@ class _Arrays:
         self.starts = np.searchsorted(src, np.arange(len(self.cells) + 1))
         self.dst = np.searchsorted(self.cells, pdf["dst"].to_numpy())
         self.td, self.pref, self.len_m, self.edge = (pdf[c].to_numpy() for c in ("td", "pref", "len_m", "edge"))
-        self.lists = None
+        self.lists = self.wanted = None
 
     def steps(self, profile: Profile) -> tuple:
         """As plain lists, which are faster one by one: cells, source and edge id of each edge, and of each cell the edges that leave it."""
@@ -87,6 +88,8 @@ class _Arrays:
         zero = profile.zero
         if at == len(self.cells) or self.cells[at] != origin:
             return [(origin, *zero, 0.0, 0, [])] if targets is None else []
+        if targets is not None and limit is None and not profile.standard:
+            return self._search_scalar(at, targets, k, paths)
         cells, sources, names, leaving = self.steps(profile)
         add, key_of, plain = profile.add, profile.key, profile is SCALAR or profile == SCALAR
         best: dict[int, tuple] = {at: (profile.key(*zero), 0, -1)}
@@ -131,6 +134,41 @@ class _Arrays:
         return out
 
 
+    def _search_scalar(self, at: int, targets: set[int], k: int | None, paths: bool) -> list[tuple]:
+        """search() for scalar weights: labels are kept in lists, and the search ends with the last target."""
+        cells, sources, names, leaving = self.steps(SCALAR)
+        n = len(cells)
+        if self.wanted is None or self.wanted[0] is not targets:
+            flags = bytearray(cell in targets for cell in cells)
+            self.wanted = targets, flags, sum(flags)
+        _, flags, left = self.wanted
+        left = left if k is None else min(k, left)
+        best, hops, prev, edge, length, done = [math.inf] * n, [0] * n, [-1] * n, [-1] * n, [0.0] * n, bytearray(n)
+        best[at], heap, out = 0.0, [(0.0, 0, -1, at)], []
+        push, pop = heapq.heappush, heapq.heappop
+        while heap and left > 0:
+            td, far, _, here = pop(heap)
+            if done[here]:
+                continue
+            done[here] = 1
+            cell, so_far = cells[here], length[here]
+            if flags[here]:
+                path, x = [], here
+                while paths and edge[x] >= 0:
+                    path.append(names[edge[x]])
+                    x = sources[edge[x]]
+                out.append((cell, td, 0.0, so_far, far, path[::-1]))
+                left -= 1
+            far += 1
+            for to, t, _, m, e in leaving[here]:
+                new, old = td + t, best[to]
+                if done[to] or new > old or new == old and (far, cell) >= (hops[to], prev[to]):
+                    continue
+                best[to], hops[to], prev[to], edge[to], length[to] = new, far, cell, e, so_far + m
+                push(heap, (new, far, cell, to))
+        return out
+
+
 def _local(edges: DataFrame, origins: DataFrame, profile: Profile, limit: float | None, targets: DataFrame | None, k: int | None, paths: bool) -> DataFrame:
     ship(edges.sparkSession)
     sc = edges.sparkSession.sparkContext
