@@ -23,6 +23,8 @@ MEMORY = 600_000
 #: White space and separators besides a single space or line feed: such texts are encoded whole.
 _ODD = re.compile("[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _WORDS_AT_ONCE = 512
+#: Characters whose words are in memory at once, unless a single text has more.
+_CHARS_AT_ONCE = 2 << 20
 #: Normalizer and pre-tokenizer of the kinds of files whose texts can be encoded word by word.
 _KINDS = {
     "spaced": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
@@ -62,6 +64,8 @@ class WordEncoder:
         #: "spaced": a word's space is part of its first token; "ended": its last token ends with a mark; None: encode whole texts
         self.kind = found[0] if found else None
         self.ends_words = self.kind == "ended"
+        #: words are remembered with the space before them where it is part of a token
+        self.before = " " if self.ends_words else ""
         self.mark = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for t, i in vocab.items():
             self.mark[i] = t.endswith("</w>") if self.ends_words else t.startswith("Ġ")
@@ -71,23 +75,23 @@ class WordEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> None:
-        """Words of ASCII letters, each with a space before it; many of them are encoded as one text.  Where tokens mark the
+        """Words of ASCII letters; many of them are encoded as one text, each with a space before it.  Where tokens mark the
         space, any words."""
         for at in range(0, len(words), _WORDS_AT_ONCE):
             some = words[at : at + _WORDS_AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.before + self.before.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.mark[ids])
             if len(cut) != len(some):
                 raise ValueError("a word doesn't have one mark")
             self._keep(some, ids, np.append(cut[1:], len(ids)) if not self.ends_words else cut + 1)
 
     def _placed(self, words: list[str]) -> None:
-        """Words with a space before each, told apart by the places that their tokens come from."""
+        """Words with a space put before each, told apart by the places that their tokens come from."""
         for at in range(0, len(words), _WORDS_AT_ONCE):
             some = words[at : at + _WORDS_AT_ONCE]
-            found = self.tokenizer.encode_batch(["".join(some)], add_special_tokens=False)[0]
+            found = self.tokenizer.encode_batch([" " + " ".join(some)], add_special_tokens=False)[0]
             until = np.array([b for _, b in found.offsets], np.int64)
-            self._keep(some, np.array(found.ids, dtype="<u4"), np.searchsorted(until, np.cumsum([len(w) for w in some]), "right"))
+            self._keep(some, np.array(found.ids, dtype="<u4"), np.searchsorted(until, np.cumsum([len(w) + 1 for w in some]), "right"))
 
     def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         data, ends = ids.tobytes(), (4 * ends).tolist()
@@ -96,14 +100,15 @@ class WordEncoder:
     def _learn(self, new: set[str]) -> None:
         letters, spaced, odd, joined = set(), [], [], []
         for w in new:
-            plain = w[:1] == " " and w.isascii()
-            if plain and w[1:].isalpha():
+            own = w if self.ends_words else w[1:] if w[:1] == " " else ""
+            plain = own.isascii()
+            if plain and own.isalpha():
                 letters.add(w)
-            elif plain and w[-1] in ".," and w[1:-1].isalpha():
+            elif plain and own[-1:] in (".", ",") and own[:-1].isalpha():
                 joined.append(w)
                 if w[:-1] not in self.memory:
                     letters.add(w[:-1])
-            elif w[:1] == " ":
+            elif own:
                 spaced.append(w)
             else:
                 odd.append(w)
@@ -116,6 +121,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t or "")
+            if size >= _CHARS_AT_ONCE:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         parts: list[list[str] | None] = []
         out: list[bytes] = [b""] * len(texts)
         whole = []
@@ -125,7 +140,7 @@ class WordEncoder:
                 plain, words = False, []
             elif self.ends_words:
                 plain = not _ODD.search(t)
-                words = [" " + w for w in t.split()] if plain else []
+                words = t.split() if plain else []
             else:
                 plain = not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[-1:] in " \n" or t[:1] in (" ", "\n") or _ODD.search(t))
                 words = t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if plain and t else []
