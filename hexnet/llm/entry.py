@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, common, decontaminate, language, lm, packing, quality, records, simhash, topk, toxicity
@@ -17,10 +17,15 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _told(held_out: Column) -> Column:
+    """A row without an id is in no fold: it isn't held out, and isn't learned from either."""
+    return F.coalesce(held_out, F.lit(False)).alias("held_out")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = common.table(spark, sf_dir, "documents"), common.fold(F.col("doc_id"), 3) == 1
     field = quality.fit(documents, common.table(spark, sf_dir, "labels"), ~held_out)
-    return quality.predict(documents, field, "doc_id", held_out.alias("held_out"))
+    return quality.predict(documents, field, "doc_id", _told(held_out))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = common.fold(F.col("doc_id"), 7) == 2
-    return lm.score(common.table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+    return lm.score(common.table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", _told(held_out))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = common.table(spark, sf_dir, "documents"), common.fold(F.col("doc_id"), 5) == 0
     index = toxicity.fit(documents, common.table(spark, sf_dir, "labels"), ~held_out)
-    return toxicity.predict(documents, index, "doc_id", held_out.alias("held_out"))
+    return toxicity.predict(documents, index, "doc_id", _told(held_out))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +71,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = common.table(spark, sf_dir, "documents"), common.fold(F.col("doc_id"), 4) == 2
-    return language.predict(documents, language.fit(documents, ~held_out), "doc_id", held_out.alias("held_out"))
+    return language.predict(documents, language.fit(documents, ~held_out), "doc_id", _told(held_out))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -144,3 +144,16 @@ def test_planted_conversation(spark):
     own = "<|im_end|><|im_start|>assistant ok"
     r = entry.op9_chat(spark, SF).where("conv_id = -1").first()
     assert (r.n_turns, r.loss_chars) == (2, len(own)) and r.loss_sha256 == hashlib.sha256(own.encode()).hexdigest()
+
+
+def test_rows_without_an_id_are_in_no_fold(spark, monkeypatch):
+    table = common.table
+
+    def other(spark, sf_dir, which):
+        df = table(spark, sf_dir, which)
+        return df.withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id"))) if which == "documents" else df
+
+    monkeypatch.setattr(common, "table", other)
+    for name in ("op3_lm", "op10_language"):
+        rows = entry.queries()[name](spark, SF).collect()
+        assert [r.held_out for r in rows if r.doc_id is None] == [False] and all(r.held_out is not None for r in rows)
