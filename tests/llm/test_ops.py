@@ -515,7 +515,7 @@ def test_other_draws():
         x = lm.draw_gamma(np.full(len(seeds), shape), seeds, 3)
         assert abs(x.mean() / shape - 1) < 0.03 and abs(x.var() / shape - 1) < 0.05
     big = lm.draw_tables(np.array([10**6, 10**6, 2]), np.array([50.0, 1e-9, 1e9]), np.array([0.5, 0.5, 0.5]))
-    assert 1000 < big[0] < 30_000 and big[1] == 1 and big[2] == 2
+    assert 60 < big[0] < 150 and big[1] == 1 and big[2] == 2  # the mode is near 2 * alpha
     assert np.allclose(lm.digamma(np.array([1.0, 2.5, 50.0])), [-0.5772156649, 0.7031566406, 3.9019896734])
 
 
