@@ -1,10 +1,16 @@
 """What is sent to the driver, and searches of many origins at once."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from hexnet.functions.lattice import Lattice
+from hexnet.functions.weights import SCALAR, STANDARD, Profile
 from hexnet.operators import graph as g
-from hexnet.operators import routing
+from hexnet.operators import routing, search
 
 
 def net(spark, edges):
@@ -24,3 +30,55 @@ def test_a_disk_is_not_broadcast(spark):
     few = spark.range(5).select(F.col("id").alias("cell"))
     wide = spark.range(3_000_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert "BroadcastHashJoin" not in plan(routing.nearest_nodes(wide, few, Lattice(64), 2))
+
+
+def test_paths_are_not_broadcast(spark):
+    # labels come from a search, of which Spark knows the size of what goes in
+    edges = net(spark, [(k, k + 1, 10, 1) for k in range(70, 90)])
+    for gap in (0, 1):
+        found = routing.shortest_paths(edges, cells(spark, 70, 71), cells(spark, 80, 81, 82), routing.Options(gap=gap), lattice=Lattice(64))
+        assert "BroadcastHashJoin" not in plan(found)
+        assert found.count() == 6
+
+
+def grid(seed, n=25, m=80):
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(n) * 3, rnd.randrange(n) * 3, float(rnd.randint(seed % 3 != 0, 4)), float(rnd.choice([3, 4, 8])), float(rnd.choice([1, 2, 5]) if seed % 2 else 1)) for _ in range(m)]
+    src, dst, td, pref, length = zip(*(r for r in rows if r[0] != r[1]), strict=True)
+    return routing._Arrays(pa.table({"edge": pa.array(range(len(src)), pa.int64()), "src": src, "dst": dst, "td": td, "pref": pref, "len_m": length}))
+
+
+@pytest.mark.parametrize("profile", [SCALAR, STANDARD, Profile(True, 0.8)], ids=["scalar", "standard", "mode"])
+def test_many_origins_at_once_find_what_one_finds(monkeypatch, profile):
+    for seed in range(40):
+        monkeypatch.setattr(search, "LABELS_AT_ONCE", (1, 60, 4000)[seed % 3])
+        monkeypatch.setattr(search, "EDGES_AT_ONCE", (3, 1000)[seed % 2])
+        monkeypatch.setattr(search, "_LOOK", (1, 2, 32)[seed % 3])
+        some = grid(seed)
+        if not some.batched(profile):
+            continue
+        starts, ends = np.arange(5), np.arange(3, len(some.cells), 2)
+        for k in (None, 1, 3):
+            got, each = [], []
+            for found in some.search_many(starts, profile, ends, k):
+                if not profile.standard:
+                    assert np.array_equal(found.sums(some.td), found.td)
+                got += [tuple(r.values()) for b in found.batches(True) for r in b.to_pylist()]
+            for o in some.cells[starts].tolist():
+                each += [(o, *r) for r in some.search(o, profile, None, set(some.cells[ends].tolist()), k)]
+            if profile.factor is None:
+                whole = lambda rows: sorted((*r[:2], round(r[2], 9), round(r[3], 9), *r[4:6], tuple(map(int, r[6]))) for r in rows)
+            else:  # equal products of different factors are settled by rounding
+                whole = lambda rows: sorted((r[0], round(r[2] * r[3], 6)) for r in rows)
+            assert whole(got) == whole(each), (seed, k)
+            if k and profile is SCALAR and some.exact():
+                o, t, td, hops = search.nearest(some.backwards(), starts, ends, k)
+                assert sorted(zip(some.cells[o].tolist(), some.cells[t].tolist(), td.tolist(), hops.tolist(), strict=True)) == sorted((r[0], r[1], r[2], r[5]) for r in each)
+
+
+def test_ties_of_the_nearest_go_to_the_smaller_cell(spark):
+    # 9 is an edge away, 5 two, at the same cost
+    edges = net(spark, [(1, 9, 4, 1), (1, 2, 2, 1), (2, 5, 2, 1)])
+    for strategy in ("local", "relax"):
+        got = routing.shortest_paths(edges, cells(spark, 1), cells(spark, 5, 9), routing.Options(k=1, strategy=strategy)).collect()
+        assert [(r.destination, r.td) for r in got] == [(5, 4.0)]
