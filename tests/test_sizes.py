@@ -82,3 +82,15 @@ def test_ties_of_the_nearest_go_to_the_smaller_cell(spark):
     for strategy in ("local", "relax"):
         got = routing.shortest_paths(edges, cells(spark, 1), cells(spark, 5, 9), routing.Options(k=1, strategy=strategy)).collect()
         assert [(r.destination, r.td) for r in got] == [(5, 4.0)]
+
+
+def test_networks_too_large_for_lists_are_searched_as_arrays(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("a round of joins for each edge of a path")
+
+    monkeypatch.setattr(routing, "MAX_LOCAL_EDGES", 5)
+    monkeypatch.setattr(routing, "_relax", never)
+    edges = net(spark, [(k, k + 1, 10, 1) for k in range(70, 110)])
+    for origins, ends, options, rows in (([70], [80, 81], {}, 2), ([70, 75], [80], {"paths": False}, 2), (range(70, 109), [90, 80, 100], {"paths": False, "k": 1}, 31)):
+        found = routing.shortest_paths(edges, cells(spark, *origins), cells(spark, *ends), routing.Options(**options)).collect()
+        assert len(found) == rows and all(r.td == 10 * r.hops == 10 * (r.destination - r.origin) for r in found)
