@@ -16,6 +16,8 @@ pairs below a minimum are left, and the rest are verified by counting differing
             These pairs are candidates: the exact Jaccard similarity of their sets of shingles decides.
             First each candidate's nearest one of each list is verified, then all candidates that are not in
             one component by then, so that large groups of near copies need few pairs and none is assumed.
+            Of the latter, pairs whose sets are known to differ in too many shingles are not met again: by
+            their sizes, and by parities, which differ in no more places than sets do in shingles.
 
 Only distinct fingerprints are indexed, and a list of STRICT gives links that connect what is linked within it
 (a spanning forest) rather than all its pairs, so a large group of near copies costs as many links as it
@@ -46,6 +48,8 @@ _SHINGLES_AT_ONCE = 1 << 14
 _SHORT = 32
 _PAIRS_AT_ONCE = 1 << 17
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+#: Bits of a set's parity.
+_PARITY = 512
 
 
 @dataclass(frozen=True)
@@ -93,6 +97,11 @@ def jaccard(one: np.ndarray, other: np.ndarray) -> float:
     return both / (len(one) + len(other) - both) if len(one) or len(other) else 1.0
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each place, set if an odd number of a set's hashes fall there: each shingle that only one of two sets has turns one bit."""
+    return np.packbits(np.bincount((hashes % np.uint64(_PARITY)).astype(np.int64), minlength=_PARITY) & 1).tobytes()
+
+
 def fingerprint(text: str | None, size: int = 4, scheme: Scheme = STRICT) -> bytes:
     """The fingerprint's words, each with its highest byte first."""
     every = shingles(text, size)
@@ -213,10 +222,11 @@ def candidates(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """a < b: pairs of rows (node, fp) that have a list in common and are near enough.
 
     Without a column root, each node is paired with its nearest one of each list only, so a list gives no
-    more pairs than it has members.  With it, all pairs are given whose roots differ.
+    more pairs than it has members.  With root, size and parity of the node's set, all pairs are given whose
+    roots differ, but for those whose sets can't have the scheme's similarity.
     """
     width, roots = 8 * scheme.words, "root" in nodes.columns
-    own = ["key", "node", "fp", *(["root"] if roots else [])]
+    own = ["key", "node", "fp", *(["root", "size", "parity"] if roots else [])]
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -241,7 +251,7 @@ def candidates(nodes: DataFrame, scheme: Scheme) -> DataFrame:
         if held:
             yield _list_pairs(pd.concat(held), scheme)
 
-    kinds = "key long, node long, fp binary" + (", root long" if roots else "")
+    kinds = "key long, node long, fp binary" + (", root long, size long, parity binary" if roots else "")
     return nodes.mapInPandas(keys, kinds).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
@@ -249,6 +259,9 @@ def _list_pairs(rows: pd.DataFrame, scheme: Scheme) -> pd.DataFrame:
     """candidates of whole lists, which are sorted by key."""
     key, ids = rows["key"].to_numpy(), rows["node"].to_numpy()
     roots = rows["root"].to_numpy() if "root" in rows else None
+    bounded = "parity" in rows
+    if bounded:
+        sizes, odd = rows["size"].to_numpy(), np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), -1)
     fps = np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1)
     bits = fps.view(np.uint64)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
@@ -263,6 +276,11 @@ def _list_pairs(rows: pd.DataFrame, scheme: Scheme) -> pd.DataFrame:
         d = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
         some = d <= scheme.distance
         i, j, d = i[some], j[some], d[some]
+        if bounded:
+            apart = np.maximum(np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64), np.abs(sizes[i] - sizes[j]))
+            both = sizes[i] + sizes[j]  # a similarity is (both - apart) / (both + apart), or less
+            some = both - apart >= scheme.similarity * (both + apart) - 1e-6
+            i, j, d = i[some], j[some], d[some]
         some = (fps[i] == fps[j]).sum(1) >= scheme.shared
         return i[some], j[some], d[some]
 
@@ -313,16 +331,19 @@ def verified(documents: DataFrame, nodes: DataFrame, size: int, scheme: Scheme)
     some = first.select("a").union(first.select("b")).distinct().toDF("node")
     busy = common.materialize(nodes.join(some, "node", "left_semi"), "busy")
 
-    @F.pandas_udf("binary")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles(t, size)).tobytes() for t in texts])
+    @F.pandas_udf("hashes binary, size long, parity binary")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        found = [np.unique(shingles(t, size)) for t in texts]
+        return pd.DataFrame({"hashes": [x.tobytes() for x in found], "size": [len(x) for x in found], "parity": [parity(x) for x in found]})
 
     named = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     texts = named.join(busy.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["node"])
-    sets = common.materialize(texts.select("node", hashes("text").alias("hashes")), "sets")
+    every = common.materialize(texts.select("node", described("text").alias("set")).select("node", "set.*"), "sets")
+    sets = every.select("node", "hashes")
     links = common.materialize(similar(first, sets, scheme.similarity), "links")
     found = components(links)
-    rooted = common.materialize(busy.join(found, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "rooted")
+    of = busy.select("node", "fp").join(every.select("node", "size", "parity"), "node").join(found, "node", "left")
+    rooted = common.materialize(of.select("node", "fp", F.coalesce("root", "node").alias("root"), "size", "parity"), "rooted")
     rest = candidates(rooted, scheme).distinct().join(first, ["a", "b"], "left_anti")
     more = similar(common.materialize(rest, "rest"), sets, scheme.similarity)
     return components(links.union(more))

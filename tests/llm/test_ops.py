@@ -368,6 +368,28 @@ def test_lists_of_any_length_and_batches():
     assert want and {tuple(x) for x in simhash._list_pairs(rows, simhash.WIDE).to_numpy().tolist()} == want
 
 
+def test_sets_that_differ_are_not_met_though_fingerprints_are_near():
+    """A group of near fingerprints gives as many pairs as are similar, not as many as it has."""
+    rng = np.random.default_rng(8)
+    common, n = rng.integers(0, 2**63, 14).astype(np.uint64), 300
+    sets = [np.unique(np.append(common, rng.integers(0, 2**63, 6).astype(np.uint64))) for _ in range(n)]
+    sets[1::50] = [np.unique(np.append(x[:-1], np.uint64(k))) for k, x in enumerate(sets[::50])]  # 19 of 21
+    rows = pd.DataFrame({"key": 1, "node": range(n), "fp": bytes(64), "root": range(n), "size": [len(x) for x in sets], "parity": [simhash.parity(x) for x in sets]})
+    got = {tuple(x) for x in simhash._list_pairs(rows, simhash.WIDE).to_numpy().tolist()}
+    similar = {(a, b) for a, b in itertools.combinations(range(n), 2) if simhash.jaccard(sets[a], sets[b]) >= 0.8}
+    assert similar == {(k, k + 1) for k in range(0, n, 50)} <= got and len(got) < 2 * n
+
+
+def test_no_similar_sets_are_left_out_by_size_and_parity():
+    rng = np.random.default_rng(9)
+    for n in (1, 4, 5, 9, 40, 700, 3000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(n) >= a], rng.integers(0, 2**63, b).astype(np.uint64)])) for a in (0, 0.05, 0.1, 0.2) for b in (0, n // 20, n // 9, n // 4)]
+        rows = pd.DataFrame({"key": 1, "node": range(16), "fp": bytes(64), "root": range(16), "size": [len(x) for x in sets], "parity": [simhash.parity(x) for x in sets]})
+        got = {tuple(x) for x in simhash._list_pairs(rows, simhash.WIDE).to_numpy().tolist()}
+        assert {(a, b) for a, b in itertools.combinations(range(16), 2) if simhash.jaccard(sets[a], sets[b]) >= 0.8} <= got
+
+
 @pytest.mark.parametrize("scheme", [simhash.WIDE, simhash.STRICT])
 def test_first_of_each_with_clashing_ids(spark, scheme):
     a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
