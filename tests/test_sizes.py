@@ -11,6 +11,7 @@ from hexnet.functions.lattice import Lattice
 from hexnet.functions.weights import SCALAR, STANDARD, Profile
 from hexnet.operators import graph as g
 from hexnet.operators import routing, search
+from hexnet.plans import queries
 
 
 def net(spark, edges):
@@ -94,3 +95,33 @@ def test_networks_too_large_for_lists_are_searched_as_arrays(spark, monkeypatch)
     for origins, ends, options, rows in (([70], [80, 81], {}, 2), ([70, 75], [80], {"paths": False}, 2), (range(70, 109), [90, 80, 100], {"paths": False, "k": 1}, 31)):
         found = routing.shortest_paths(edges, cells(spark, *origins), cells(spark, *ends), routing.Options(**options)).collect()
         assert len(found) == rows and all(r.td == 10 * r.hops == 10 * (r.destination - r.origin) for r in found)
+
+
+@pytest.mark.parametrize("strategy", ["local", "relax"])
+@pytest.mark.parametrize("profile", [SCALAR, STANDARD], ids=["scalar", "standard"])
+def test_what_is_along_paths_is_what_their_lists_say(spark, strategy, profile):
+    rnd = random.Random(4)
+    rows = {(a, b): (a, b, rnd.randint(1, 9), rnd.choice([3, 4, 8])) for a, b in ((rnd.randrange(70, 95), rnd.randrange(70, 95)) for _ in range(90)) if a != b}
+    edges = net(spark, rows.values())
+    td = {r.edge: r.td for r in edges.collect()}
+    find = lambda **o: routing.shortest_paths(edges, cells(spark, *range(70, 80)), cells(spark, *range(70, 95, 2)), routing.Options(strategy=strategy, **o), profile).collect()
+    listed, folded = find(), {(r.origin, r.destination): r for r in find(along=True)}
+    assert len(listed) == len(folded) > 50 and max(r.hops for r in listed) > 3
+    for r in listed:
+        got = folded[r.origin, r.destination]
+        ends = (r.edges[0] // 10_000, r.edges[-1] % 10_000) if r.edges else (r.origin, r.origin)
+        assert (got.edges_n, got.edges_td, got.edges_m, got.first_cell, got.last_cell) == (len(r.edges), sum(td[e] for e in r.edges), r.length_m, *ends)
+        assert (got.td, got.hops, got.length_m, got.edges) == (r.td, r.hops, r.length_m, [])
+
+
+def test_no_path_is_listed_for_sums_over_its_edges(spark, monkeypatch, tmp_path):
+    # 40 paths of one origin share their edges: lists hold 820 of them, the tree 40
+    edges = net(spark, [(k, k + 1, 10, 1) for k in range(70, 110)])
+    listed = lambda **o: routing.shortest_paths(edges, cells(spark, 70), cells(spark, *range(71, 111)), routing.Options(**o)).selectExpr("sum(size(edges))").first()[0]
+    assert (listed(), listed(along=True)) == (820, 0)
+    for name in ("path_weight_fold",):
+        seen = []
+        monkeypatch.setattr(queries, "_paths", lambda *_, **o: seen.append(o) or (_ for _ in ()).throw(StopIteration))
+        with pytest.raises(StopIteration):
+            queries.QUERIES[name](spark, str(tmp_path))
+        assert seen[0].get("along") and not seen[0].get("paths")
