@@ -119,7 +119,7 @@ def test_no_path_is_listed_for_sums_over_its_edges(spark, monkeypatch, tmp_path)
     edges = net(spark, [(k, k + 1, 10, 1) for k in range(70, 110)])
     listed = lambda **o: routing.shortest_paths(edges, cells(spark, 70), cells(spark, *range(71, 111)), routing.Options(**o)).selectExpr("sum(size(edges))").first()[0]
     assert (listed(), listed(along=True)) == (820, 0)
-    for name in ("path_weight_fold", "path_cells"):
+    for name in ("path_weight_fold", "path_cells", "path_edges_len"):
         seen = []
         monkeypatch.setattr(queries, "_paths", lambda *_, **o: seen.append(o) or (_ for _ in ()).throw(StopIteration))
         with pytest.raises(StopIteration):
