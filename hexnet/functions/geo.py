@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,11 +113,8 @@ def chaikin(points: Points, times: int = 1) -> Points:
     return points
 
 
-def simplify(points: Points, epsilon: float = SIMPLIFY) -> Points:
-    """Ramer-Douglas-Peucker: what is within epsilon of the line between kept points goes."""
-    if len(points) < 3:
-        return points
-    p, keep, todo = np.array(points), np.zeros(len(points), bool), [(0, len(points) - 1)]
+def _kept(p: np.ndarray, epsilon: float) -> np.ndarray:
+    keep, todo = np.zeros(len(p), bool), [(0, len(p) - 1)]
     keep[[0, -1]] = True
     while todo:
         a, b = todo.pop()
@@ -129,7 +127,64 @@ def simplify(points: Points, epsilon: float = SIMPLIFY) -> Points:
         if far[k] > epsilon:
             keep[a + 1 + k] = True
             todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return [x for x, y in zip(points, keep, strict=True) if y]
+    return keep
+
+
+def simplify(points: Points, epsilon: float = SIMPLIFY) -> Points:
+    """Ramer-Douglas-Peucker: what is within epsilon of the line between kept points goes."""
+    if len(points) < 3:
+        return points
+    return [x for x, y in zip(points, _kept(np.array(points), epsilon), strict=True) if y]
+
+
+def wkb_lines_of(points: np.ndarray, lens: np.ndarray, smoothen: bool = True, epsilon: float = SIMPLIFY) -> pa.Array:
+    """WKB of lines of at least two points each, given one after the other, smoothed by chaikin() and simplified.
+
+    A corner whose triangle with its neighbours is wider than twice epsilon is kept by any simplification; where all between such corners
+    is within epsilon of the line between them, it goes, at once for all lines.  Other lines are simplified one by one.
+    """
+    points, lens = np.asarray(points, float).reshape(-1, 2), np.asarray(lens, np.int64)
+    if smoothen:
+        last = np.cumsum(lens) - 1
+        cut = np.empty((2 * len(points), 2))
+        cut[1:-1:2] = 0.75 * points[:-1] + 0.25 * points[1:]
+        cut[2::2] = 0.25 * points[:-1] + 0.75 * points[1:]
+        cut[2 * (last - lens + 1)], cut[2 * last + 1] = points[last - lens + 1], points[last]
+        if (lens < 3).any():  # a single piece has no corner
+            rest = np.repeat(lens > 2, 2 * lens)
+            rest[2 * (last - lens + 1)] = rest[2 * last + 1] = True
+            cut, lens = cut[rest], np.where(lens > 2, 2 * lens, 2)
+        else:
+            lens = 2 * lens
+        points = cut
+    ends = np.cumsum(lens)
+    first, of = ends - lens, np.repeat(np.arange(len(lens)), lens)
+    step = np.diff(points, axis=0)
+    keep = np.ones(len(points), bool)
+    x, y = step.T
+    long = np.maximum(np.hypot(x, y)[:-1], np.hypot(x, y)[1:])
+    long = np.maximum(long, np.hypot(x[:-1] + x[1:], y[:-1] + y[1:]))
+    keep[1:-1] = np.abs(x[:-1] * y[1:] - y[:-1] * x[1:]) > 2.001 * epsilon * long
+    keep[first], keep[ends - 1] = True, True
+    out = np.flatnonzero(~keep)
+    kept = np.flatnonzero(keep)
+    after = np.searchsorted(kept, out)
+    a, b = points[kept[after - 1]], points[kept[after]]
+    d, own = b - a, points[out] - a
+    n = np.hypot(d[:, 0], d[:, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(n > 0, np.abs(d[:, 0] * own[:, 1] - d[:, 1] * own[:, 0]) / n, np.hypot(own[:, 0], own[:, 1]))
+    for j in np.unique(of[out[~(far <= epsilon)]]).tolist():
+        keep[first[j] : ends[j]] = _kept(points[first[j] : ends[j]], epsilon)
+    many = np.add.reduceat(keep, first, dtype=np.int64) if len(lens) else lens
+    stops = np.concatenate([[0], np.cumsum(9 + 16 * many)])
+    data, coords = np.empty(stops[-1], np.uint8), np.ascontiguousarray(points[keep], "<f8").view(np.uint8).ravel()
+    at = 0
+    for begin, size in zip(stops.tolist(), many.tolist(), strict=False):
+        data[begin : begin + 9] = np.frombuffer(struct.pack("<BII", 1, _LINE, size), np.uint8)
+        data[begin + 9 : begin + 9 + 16 * size] = coords[at : at + 16 * size]
+        at += 16 * size
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(data)])
 
 
 def route_wkb(paths: DataFrame, centre: Callable[[Column], tuple[Column, Column]], smoothen: bool = True, epsilon: float = SIMPLIFY) -> DataFrame:
@@ -138,10 +193,7 @@ def route_wkb(paths: DataFrame, centre: Callable[[Column], tuple[Column, Column]
 
     @F.pandas_udf("binary")
     def line(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(xs, ys, strict=True):
-            points = list(zip(map(float, x), map(float, y), strict=True))
-            out.append(wkb_line(simplify(chaikin(points) if smoothen else points, epsilon)) if len(points) > 1 else None)
+        out = [wkb_lines_of(np.stack([x, y], 1), [len(x)], smoothen, epsilon)[0].as_py() if len(x) > 1 else None for x, y in zip(xs, ys, strict=True)]
         return pd.Series(out, dtype=object)
 
     xs, ys = F.transform("cells", lambda c: centre(c)[0]), F.transform("cells", lambda c: centre(c)[1])

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from hexnet.functions import geo
 from hexnet.functions.lattice import Lattice
 from hexnet.functions.weights import SCALAR, STANDARD, Profile
 from hexnet.operators import graph as g
@@ -125,3 +126,57 @@ def test_no_path_is_listed_for_sums_over_its_edges(spark, monkeypatch, tmp_path)
         with pytest.raises(StopIteration):
             queries.QUERIES[name](spark, str(tmp_path))
         assert seen[0].get("along") and not seen[0].get("paths")
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_paths_of_one_search_from_all_ends_are_those_from_each_start(k):
+    for seed in range(1, 60):
+        some = grid(seed * 2, 30, 120)  # edges of one length, many of equal cost
+        starts, ends = np.arange(len(some.cells)), np.arange(3, len(some.cells), 4)
+        forest = search.Forest.grown(some.backwards(), ends, k)
+        own = np.flatnonzero(np.isin(forest.node, starts))
+        own = own[np.argsort(-forest.hops[own], kind="stable")]
+        passed = np.split(some.cells[forest.passed(own)], np.cumsum(forest.hops[own] + 1)[:-1])
+        got = sorted((some.cells[forest.node[x]], some.cells[forest.target[x]], forest.td[x], forest.hops[x], p.tolist()) for x, p in zip(own, passed, strict=True))
+        each = []
+        for found in some.search_many(starts, SCALAR, ends, k):
+            for b in found.batches(True):
+                for r in b.to_pylist():
+                    each.append((r["origin"], r["node"], r["td"], r["hops"], [r["origin"], *(int(some.cells[some.dst[some.edge == e][0]]) for e in r["path"])]))
+        assert got == sorted(each) and len(got) > 10
+
+
+@pytest.mark.parametrize("smoothen", [True, False])
+def test_lines_at_once_are_those_one_by_one(smoothen):
+    rnd, lattice = np.random.default_rng(3), Lattice(64)
+    walks = [np.cumsum(rnd.choice([[1, 0], [0, 1], [-1, 1], [1, -1]], (n, 1) if n < 5 else n).reshape(-1, 2), axis=0) for n in (2, 3, 4, 50, 300, 2)]
+    flat = [np.stack([(w[:, 0] + w[:, 1] / 2) * lattice.length_m(), w[:, 1] * 1.5], 1) for w in walks]
+    bent = [np.stack([t, 1e-5 * np.sin(t * 3) * 4], 1) for t in (np.linspace(0, 9, 200),)]  # not as plain: corners about as wide as epsilon
+    lines = flat + bent
+    got = geo.wkb_lines_of(np.concatenate(lines), [len(x) for x in lines], smoothen).to_pylist()
+    for line, wkb in zip(lines, got, strict=True):
+        points = list(map(tuple, line.tolist()))
+        whole = geo.chaikin(points) if smoothen else points
+        kind, own = geo.parse_wkb(wkb)
+        plain = geo.simplify(whole)
+        # of points on a straight piece, the plain one may keep some by rounding
+        assert kind == "line" and own[0] == plain[0] and own[-1] == plain[-1] and set(own) <= set(plain)
+        assert geo.simplify(own) == own
+        at = [whole.index(p) for p in own] if len(set(whole)) == len(whole) else []
+        for a, b in zip(at, at[1:], strict=False):
+            (x, y), (u, v) = whole[a], whole[b]
+            assert all(abs((u - x) * (q - y) - (v - y) * (p - x)) <= 1.001e-5 * np.hypot(u - x, v - y) for p, q in whole[a:b])
+
+
+def test_lines_of_the_nearest_are_drawn_without_a_list_of_edges(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = {(a, b): (a, b, rnd.randint(1, 3), 1) for a, b in ((rnd.randrange(70, 250), rnd.randrange(70, 250)) for _ in range(900)) if a != b}
+    edges, lattice = net(spark, rows.values()), Lattice(16)
+    find = lambda: {(r.origin, r.destination): r for r in routing.lines(edges, cells(spark, *range(70, 250)), cells(spark, *range(70, 250, 20)), lattice.centre, routing.Options(k=2), lattice=lattice).collect()}
+    monkeypatch.setattr(routing, "_drawn", lambda *_: None)
+    listed = find()
+    monkeypatch.undo()
+    monkeypatch.setattr(routing, "EDGES_FOLLOWED", 40)
+    monkeypatch.setattr(routing, "EDGES_AT_ONCE", 20)
+    monkeypatch.setattr(routing, "path_cells", lambda *_: (_ for _ in ()).throw(AssertionError("listed")))
+    assert find() == listed and len(listed) > 300 and all(r.hops > 0 for r in listed.values())
