@@ -42,10 +42,10 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return out
 
 
-def drop(written: DataFrame) -> None:
-    """Deletes what ``materialize`` has written, once nothing reads it any more."""
+def drop(written: DataFrame, folder: str = "") -> None:
+    """Deletes what ``materialize`` has written, or one folder of it, once nothing reads it any more."""
     spark = written.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written._written_at)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{written._written_at}/{folder}".rstrip("/"))
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

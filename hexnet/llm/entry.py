@@ -34,7 +34,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = common.fold(F.col("doc_id"), 7) == 2
-    return lm.score(common.table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", _told(held_out))
+    return lm.score(common.table(spark, sf_dir, "documents"), ~held_out, words=2).withColumn("held_out", _told(held_out))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -668,6 +668,99 @@ def test_probabilities_leave_room(spark):
     assert 0 < sum(got[1300 + k] for k in range(4)) + got[1201] < 1
 
 
+def _naive_scores_of_two(texts, asked, sweeps=120, burn=40, d=0.5):
+    """log10 of each asked text by one-by-one Gibbs over tables: contexts of two words, of one and a root, strengths 1."""
+    rng, rest, seats = random.Random(3), {}, {}
+    v = len({w for t in texts for w in [*t.split(), "$"]})
+
+    def grams(t):
+        words = ["^", "^", *t.split(), "$"]
+        return [((words[k - 2], words[k - 1]), words[k]) for k in range(2, len(words))]
+
+    def p(context, w):
+        if context is None:
+            return 1 / (v + 1)
+        own = seats.get(context, {})
+        n, k = sum(map(sum, own.values())), sum(map(len, own.values()))
+        return (sum(own.get(w, [])) - d * len(own.get(w, [])) + (1 + d * k) * p(context[1:] if context else None, w)) / (1 + n)
+
+    def add(context, w):
+        if context is None:
+            return
+        base = p(context[1:] if context else None, w)
+        at = seats.setdefault(context, {})
+        k = sum(map(len, at.values()))
+        own = at.setdefault(w, [])
+        place = rng.random() * (sum(own) - d * len(own) + (1 + d * k) * base)
+        for j, n in enumerate(own):
+            place -= n - d
+            if place < 0:
+                own[j] += 1
+                return
+        own.append(1)
+        add(context[1:] if context else None, w)
+
+    def leave(context, w):
+        own = seats[context][w]
+        j = rng.choices(range(len(own)), own)[0]
+        own[j] -= 1
+        if not own[j]:
+            del own[j]
+            if context:
+                leave(context[1:], w)
+
+    customers = [g for t in texts for g in grams(t)]
+    for u, w in customers:
+        add(u, w)
+    for k in range(sweeps):
+        for u, w in customers:
+            leave(u, w)
+            add(u, w)
+        if k >= burn:
+            for t in asked:
+                rest[t] = [a + p(u, w) for a, (u, w) in zip(rest.get(t, [0.0] * 99), grams(t))]
+    return {t: sum(math.log10(x / (sweeps - burn)) for x in rest[t]) for t in asked}
+
+
+def test_contexts_of_two_words_against_one_by_one_gibbs(spark, monkeypatch):
+    monkeypatch.setattr(lm, "draw_strengths", lambda counts, n: np.ones(counts.shape[1]))
+    monkeypatch.setattr(lm, "ROOT_STRENGTH", 1.0)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("aaabbcdefgh") for _ in range(12)) for _ in range(40)]
+    asked = [*texts[:6], "a b c", "h h z", "z", "z a b", "f e d a"]
+    want = _naive_scores_of_two(texts, asked)
+    rows = [(k, t, "en") for k, t in enumerate([*texts, *asked])]
+    got = {r.doc_id: r.score for r in lm.score(docs(spark, rows), F.col("doc_id") < len(texts), words=2).collect()}
+    for k, t in enumerate(asked):
+        assert abs(got[len(texts) + k] - want[t]) < 0.03 * abs(want[t]), (t, got[len(texts) + k], want[t])
+
+
+def test_contexts_of_two_words_do_not_depend_on_dealing(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["a", "a", f"b{rng.randrange(20)}", f"c{rng.randrange(200)}"]) for _ in range(30)), "en") for k in range(80)]
+    learn = F.col("doc_id") % 4 != 0
+    score = lambda: {r.doc_id: r.score for r in lm.score(docs(spark, rows).repartition(3), learn, words=2).collect()}
+    one = score()
+    for name, value in (("BLOCK_TOKENS", 300), ("SHARD_TOKENS", 200), ("WORD_SHARD_TOKENS", 500)):
+        monkeypatch.setattr(lm, name, value)
+    dealt = score()
+    assert sorted(dealt) == sorted(one) and all(abs(one[k] - dealt[k]) < 0.002 * abs(one[k]) for k in one)
+    monkeypatch.setattr(lm, "HOT", 100)
+    parted = score()
+    assert all(abs(one[k] - parted[k]) < 0.02 * abs(one[k]) for k in one)
+    monkeypatch.setattr(lm, "MOST_HOT", 0)
+    assert all(abs(v - parted[k]) < 1e-6 for k, v in score().items())
+
+
+def test_contexts_of_two_words_on_odd_rows(spark):
+    rows = [(k, t, "en") for k, t in enumerate(["a b", None, "", "c", "a b", "A  B\n c"])] + [(None, "a b", "en"), (0, "a b", "en")]
+    got = lm.score(docs(spark, rows), F.col("doc_id") < 4, words=2).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 2, 3, 3, 3, 3, 4] and all(r.score < 0 and r.train_tokens == 10 for r in got)
+    assert len({r.score for r in got if r.n_tokens == 3}) == 1
+    assert lm.score(docs(spark, []), F.lit(True), words=2).count() == 0
+    assert lm.score(docs(spark, rows[:1]), F.lit(False), words=2).first().score == 0
+
+
 # ---------------------------------------------------------------- chat
 
 def test_chat_round_trip(spark):

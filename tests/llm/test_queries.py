@@ -1,7 +1,9 @@
 """The registered queries: columns, whole tables, folds, and SQL where there is some."""
 
 import hashlib
+import math
 import os
+import random
 import zlib
 
 import pytest
@@ -69,6 +71,16 @@ def test_language_model_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_query_uses_two_words(spark, monkeypatch):
+    """What follows "b" can only be told from the word before it."""
+    rng, ends = random.Random(1), {"x": "p", "y": "q", "z": "r"}
+    texts = [" ".join(f"{x} b {ends[x]}" for x in rng.choices("xyz", k=30)) for _ in range(150)]
+    monkeypatch.setattr(common, "table", lambda spark, sf_dir, which: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    held = [r for r in entry.op3_lm(spark, SF).collect() if r.held_out]
+    # one of three words at every third place: 30 of 91 tokens; with one word before, "b" would add as many again
+    assert held and all(-r.score < 1.25 * 30 * math.log10(3) for r in held)
+
+
 def test_fingerprint_query(spark):
     from hexnet.llm import simhash
 
