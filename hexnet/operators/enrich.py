@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..errors import MissingCellColumn
 
 
+#: Rows of a dataset that are broadcast.
+MOST_SENT = 200_000
+
+
 def need(df: DataFrame, column: str) -> DataFrame:
     """The frame with its cell column as long, or MissingCellColumn."""
     if column not in df.columns:
@@ -39,6 +43,17 @@ def members(cells: DataFrame, dataset: DataFrame, dataset_key: str, cell: str =
     return cells.join(known, cells[cell] == known["__m"], "left_semi")
 
 
+def few(dataset: DataFrame, dataset_key: str, cells: DataFrame, cell: str = "cell") -> DataFrame:
+    """The dataset's rows for some cells, as a side to join with rows whose number Spark doesn't know: broadcast if they are few, else built in parts.
+
+    Results of a search come from a few rows by Spark's estimate, which would send all of them to the driver.
+    """
+    known = cells.select(F.col(cell).cast("long").alias("__m")).distinct()
+    right = need(dataset, dataset_key)
+    out = right.join(known, right[dataset_key] == known["__m"], "left_semi")
+    return F.broadcast(out) if out.limit(MOST_SENT + 1).count() <= MOST_SENT else out.hint("shuffle_hash")
+
+
 def outside(cells: DataFrame, hidden: DataFrame, cell: str = "cell") -> DataFrame:
     own = hidden.select(F.col(cell).alias("__m"))
     return cells.join(own, cells[cell] == own["__m"], "left_anti")
